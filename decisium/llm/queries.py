@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisium.llm import packing, quality
+from decisium.llm import flac, mixing, packing, quality, secret_scan, warc
 from decisium.runtime import table
 
 
@@ -23,6 +23,37 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
+def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, the digest of the base spans, and all spans of every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = {r.kind: i for i, r in enumerate(secret_scan.BASE_RULES)}
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    own = F.filter("spans", lambda s: s["rule"] < len(base))
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{k}") for k, i in base.items()]
+    return found.select("doc_id", *counts, F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archives(warc.plan_revisits(pages))
+    return warc.resolved(warc.read_archives(manifest))
+
+
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a FLAC stream and read back."""
+    return flac.digests(flac.encode_column(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
     return found
