@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decisium.llm import flac, mixing, packing, quality, secret_scan, warc
+from decisium.llm import chat, flac, html_wrappers, mixing, near_dup, packing, quality, secret_scan, token_files, warc
 from decisium.runtime import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to flat token files, and every document's place and token count found by scanning them."""
+    files = token_files.write_token_files(table(spark, sf_dir, "documents").select("text"))
+    return token_files.token_counts(files)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -23,6 +29,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -42,6 +54,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with a shortened last answer, as prompt and masked completions."""
+    pairs = chat.shortened_pairs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    return pairs.withColumn("chosen_spans", listed("chosen_spans")).withColumn("rejected_spans", listed("rejected_spans"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -49,15 +71,56 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_archives(manifest))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document (3-word shingles, similarity of 0.85 or more)."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100)
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a FLAC stream and read back."""
     return flac.digests(flac.encode_column(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
+
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
-    return found
+    return found | {"pipeline": corpus_pipeline.run}
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations
+), l AS (
+  SELECT conv_id, max(CASE WHEN role = 'assistant' THEN i END) AS la, count(*) AS n FROM t GROUP BY conv_id
+), u AS (
+  SELECT t.conv_id, t.role, t.text, t.i,
+         CASE WHEN t.i = l.la THEN left(t.text, CAST(length(t.text) // 2 AS BIGINT)) ELSE t.text END AS cut
+  FROM t JOIN l USING (conv_id)
+), d AS (
+  SELECT conv_id, coalesce(min(CASE WHEN text <> cut THEN i END), max(i) + 1) AS first_new FROM u GROUP BY conv_id
+), r AS (
+  SELECT u.conv_id, u.i, u.role, d.first_new,
+         '<|im_start|>' || replace(u.role, '<|', '<\|') || chr(10) AS head,
+         replace(u.text, '<|', '<\|') || '<|im_end|>' || chr(10) AS a,
+         replace(u.cut, '<|', '<\|') || '<|im_end|>' || chr(10) AS b
+  FROM u JOIN d USING (conv_id)
+), s AS (
+  SELECT *, sum(CASE WHEN i >= first_new THEN length(head) + length(a) ELSE 0 END) OVER w AS a_stop,
+            sum(CASE WHEN i >= first_new THEN length(head) + length(b) ELSE 0 END) OVER w AS b_stop
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+)
+SELECT conv_id, CAST(any_value(first_new) - 1 AS INTEGER) AS n_prompt_turns,
+  coalesce(string_agg(head || a, '' ORDER BY i) FILTER (WHERE i < first_new), '') AS prompt,
+  coalesce(string_agg(head || a, '' ORDER BY i) FILTER (WHERE i >= first_new), '') AS chosen,
+  coalesce(string_agg(CAST(a_stop - length(a) AS VARCHAR) || ':' || CAST(a_stop AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i >= first_new AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(head || b, '' ORDER BY i) FILTER (WHERE i >= first_new), '') AS rejected,
+  coalesce(string_agg(CAST(b_stop - length(b) AS VARCHAR) || ':' || CAST(b_stop AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i >= first_new AND role = 'assistant'), '') AS rejected_spans
+FROM s GROUP BY conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_preference_chat": OP7_SQL}
