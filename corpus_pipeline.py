@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from decisium.llm import mixing, near_dup, packing, quality, secret_scan
 from decisium.runtime import materialise, table
@@ -13,8 +12,7 @@ from decisium.runtime import materialise, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own_row"), "doc_id", "text")
-    return quality.judge(rows, table(spark, sf_dir, "labels")).filter("kept").select("own_row.*")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("kept").select("own_row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def encode_frames(samples: np.ndarray, lengths: np.ndarray, numbers: list[int])
     coded = place >= own
     u = np.where(coded, np.where(r >= 0, 2 * r, -2 * r - 1), 0)
     count = lengths - order
-    guess = np.floor(np.log2(np.maximum(np.add.reduceat(u, starts) / count, 1))).astype(np.int64)
+    guess = np.floor(np.log2(np.maximum(np.add.reduceat(u, starts) / np.maximum(count, 1), 1))).astype(np.int64)
     best, k = None, None
     for step in (-1, 0, 1):
         tried = np.clip(guess + step, 0, 14)

@@ -214,9 +214,10 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, most: int = MOST, block_t
     text where that is all of them, else those words joined by single spaces.
     """
     columns = docs.columns
-    held = materialise(docs.withColumn("row_no", F.monotonically_increasing_id()), "mixed")
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("own_row"), "doc_id", "source", "text")
+    held = materialise(rows.withColumn("row_no", F.monotonically_increasing_id()), "mixed")
     plan = mix(held, seed=seed, most=most, block_tokens=block_tokens, **rest).filter(F.col("taken") > 0)
-    plan = plan.select(F.col("row_no").alias("plan_row"), "size", "start", "blocks", "every", "more", "step", "turn")
+    plan = plan.select(F.col("row_no").alias("plan_row"), "start", "blocks", "every", "more", "step", "turn")
     df = held.join(plan, F.col("row_no") == F.col("plan_row"))
     df = df.withColumn("own_words", words(F.col("text"))).withColumn(
         "times", F.transform("own_words", lambda w, i: block_times(F.floor((F.col("start") + i) / float(block_tokens))))
@@ -225,6 +226,5 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, most: int = MOST, block_t
     whole = F.array_min("times") >= F.col("copy_no")
     some = F.array_join(F.filter("own_words", lambda w, i: F.get("times", i) >= F.col("copy_no")), " ")
     df = df.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.length("text").cast("long"))
-    return df.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return df.select(*[new.get(c, F.col("own_row")[c]).alias(c) for c in columns])

@@ -309,4 +309,4 @@ def deduplicated(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 10
     gone = near_duplicates(docs, shingle, num, den).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     gone = materialise(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -114,11 +114,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoot
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, smoothing: float = SMOOTHING, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """``docs`` with the base counts, base_failed, score and kept."""
+    """(own_row, doc_id, base counts, base_failed, score, kept) of every row; own_row holds all columns of ``docs``."""
     ratios = log_ratios(docs, labels, buckets, smoothing, target_rows)
-    df = base_counts(docs).withColumn("grams", ngram_buckets(F.col("w"), buckets))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    df = base_counts(rows).withColumn("grams", ngram_buckets(F.col("w"), buckets))
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     df = df.withColumn("score", total / F.greatest(F.size("grams"), F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("w", "grams")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("w", "grams", "text")
