@@ -15,7 +15,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value) with line numbers from 1, blank lines counted and left out; a file is one task's work."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = whole.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value"))
     return rows.filter(F.trim("value") != "").withColumn("line", F.col("line") + 1)
 
