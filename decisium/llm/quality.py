@@ -35,6 +35,7 @@ SMOOTHING = 4.0
 TARGET_ROWS = 50_000
 #: Words of a repeat window.
 WINDOW = 8
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
@@ -121,5 +122,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
     df = df.withColumn("score", total / F.greatest(F.size("grams"), F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("w", "grams", "text")
+    df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # one element per row: a later filter on a verdict stays above this and doesn't repeat all of its expressions
+    verdict = F.struct(*VERDICT)
+    return df.select("own_row", "doc_id", F.explode(F.array(verdict)).alias("verdict")).select("own_row", "doc_id", "verdict.*")
