@@ -13,18 +13,29 @@ LEAST_OPTIONS, MOST_OPTIONS = 2, 8
 # fixed values: spellings of "no answer"
 NA_SPELLINGS = ("n/a", "na", "n a", "not available", "not-available", "none", "nil", "unknown", "no answer")
 
-# fixed values: families that assert facts and must say where from
-FACT_FAMILIES = (
-    "wiki_fact", "openbookqa", "sciq", "commonsense", "hellaswag", "medqa", "quality_qa", "qasc", "medmcqa", "mmlu", "gsm_mc",
-    "math_mc", "arc-challenge", "mmlu-astronomy", "race-middle",
-)
 # fixed values: all families; others are treated as "unknown"
 KNOWN_FAMILIES = (
-    *FACT_FAMILIES, "retrieval", "paraphrase", "order", "ambiguity", "permuted", "numeric", "spatial", "compare", "oddoneout", "category",
-    "property", "negation", "conditional", "define", "analogy", "cause", "summary", "tone", "intent", "knowledge", "consistency",
-    "arithmetic", "counting", "sets", "beforeafter", "ordinal", "sequence_next", "timeclock", "dates", "negprop", "synonym", "antonym",
-    "transitivity", "distribution", "wikicat", "wikibox", "wikiret", "open", "longread", "chain_arithmetic", "chain_logic",
-    "chain_sequence", "chain_retrieval", "reformulate", "near_miss", "noise",
+    "retrieval", "paraphrase", "order", "ambiguity", "permuted",
+    "numeric", "spatial", "compare", "oddoneout", "category", "property", "negation", "conditional",
+    "define", "analogy", "cause", "summary", "tone", "intent", "knowledge", "consistency",
+    "wiki_fact",
+    "arithmetic", "counting", "sets", "beforeafter", "ordinal", "sequence_next",
+    "timeclock", "dates", "negprop", "synonym", "antonym", "transitivity", "distribution",
+    "wikicat", "wikibox", "wikiret",
+    "openbookqa", "sciq", "commonsense", "hellaswag", "medqa",
+    "open", "longread",
+    "chain_arithmetic", "chain_logic", "chain_sequence", "chain_retrieval",
+    "reformulate", "near_miss", "noise",
+    "quality_qa", "qasc", "medmcqa", "mmlu", "gsm_mc", "math_mc",
+    "arc-challenge", "mmlu-astronomy", "race-middle",
+)
+
+# fixed values: families that assert facts and must say where from
+FACT_FAMILIES = (
+    "wiki_fact",
+    "openbookqa", "sciq", "commonsense", "hellaswag", "medqa",
+    "quality_qa", "qasc", "medmcqa", "mmlu", "gsm_mc", "math_mc",
+    "arc-challenge", "mmlu-astronomy", "race-middle",
 )
 
 
