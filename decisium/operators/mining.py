@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decisium.functions import wiki
 from decisium.functions.hashing import sha_order
-from decisium.functions.text import collapsed, sentences
+from decisium.functions.text import collapsed
 
 
 def seeds(pages: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def seeds(pages: DataFrame) -> DataFrame:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """(title, seq, sentence_no, sentence, kind, answer): at most one fact a sentence."""
-    clean = F.replace(wiki.clean_markup("text"), F.lit("(s)"), F.lit("s"))
-    rows = pages.select("title", "seq", F.posexplode(sentences(clean)).alias("sentence_no", "sentence"))
+    parts = F.transform(wiki.plain_sentences(wiki.clean_markup(wiki.without_headings("text"))), wiki.clean_sentence)
+    rows = pages.select("title", "seq", F.posexplode(parts).alias("sentence_no", "sentence"))
     return rows.filter(wiki.usable_sentence("sentence")).withColumn("fact", wiki.facts("sentence")).filter(F.col("fact").isNotNull()).select("title", "seq", "sentence_no", "sentence", "fact.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from decisium.functions import arrays as A
 from decisium.functions import hashing as H
 from decisium.functions import text as T
+from decisium.functions import wiki
 from decisium.operators import encode, metrics
 from decisium.plans.base import PREDICTED, ROWS, decision_rows, n1, n2, predicted_rows, query
 from decisium.runtime import table
@@ -278,3 +279,20 @@ def array_sets(spark, sf_dir):
     r = F.col("vec_id") % 30
     both = F.array_intersect(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: i.cast("long")), F.sequence(r, r + 9))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x)).alias("both"))
+
+
+PLAIN = r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#+ .*$', '', 'g'), '\n+', ' ', 'g'), '. '), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, CAST(len(s) AS INT) AS n, sha256(array_to_string(s, chr(10))) AS digest FROM s"""
+
+
+@query("plain_sentences", PLAIN)
+def plain_sentences(spark, sf_dir):
+    df = docs(spark, sf_dir).select("doc_id", wiki.plain_sentences("text").alias("s"))
+    return df.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "\n"), 256).alias("digest"))
+
+
+@query("clean_sentence", "SELECT o_orderkey, 'The order of ' || o_orderpriority || 'holds item .' AS clean FROM orders")
+def clean_sentence(spark, sf_dir):
+    dot, o = chr(0xB7), table(spark, sf_dir, "orders")
+    s = F.concat(F.lit(dot + " The order ''of'' "), F.col("o_orderpriority"), F.lit(" ["), F.col("o_orderkey").cast("string"), F.lit("] holds item(s) .The"))
+    return o.select("o_orderkey", wiki.clean_sentence(s).alias("clean"))

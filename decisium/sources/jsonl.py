@@ -95,3 +95,13 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     if n:
         df.write.mode("append").json(path)
     return n
+
+
+def write_status(counts: DataFrame, path: str, need: int) -> dict[str, int]:
+    """A JSON snapshot of how far each family is (one number each, ``need`` at most)."""
+    import json
+
+    status = {r["family"]: min(r["n"], need) for r in counts.select("family", "n").toLocalIterator()}
+    with open(path, "w") as f:
+        json.dump(status, f, indent=1, sort_keys=True)
+    return status

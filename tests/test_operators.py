@@ -221,6 +221,8 @@ def test_json_lines(spark, tmp_path):
     assert good.count() == 3 and bad.count() == 1
     counts = {r["family"]: r["n"] for r in jsonl.finished_counts(spark, str(tmp_path / "a.jsonl"), ["retrieval", "sets"]).collect()}
     assert counts == {"retrieval": 3, "sets": 0}
+    status = jsonl.write_status(jsonl.finished_counts(spark, str(tmp_path / "a.jsonl"), ["retrieval"]), str(tmp_path / "s.json"), 2)
+    assert status == json.loads((tmp_path / "s.json").read_text()) == {"retrieval": 2}
 
 
 def test_pages_and_headlines(spark, tmp_path):
