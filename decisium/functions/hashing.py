@@ -19,9 +19,11 @@ def sha_order(seed, *cols) -> Column:
 def sha_mod(key: Column, modulus: int = 1000) -> Column:
     """The SHA-256 of ``key``, as a number, modulo ``modulus``: Horner over eight 32-bit words."""
     step = (1 << 32) % modulus
-    digest = F.sha2(key, 256)
-    word = lambda i: F.conv(F.substr(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda a, i: F.pmod(a * step + word(i), F.lit(modulus)))
+    digest = F.sha2(key, 256)  # outside of any lambda, so it is computed once a row
+    value = F.lit(0).cast("long")
+    for i in range(8):
+        value = F.pmod(value * step + F.conv(F.substring(digest, i * 8 + 1, 8), 16, 10).cast("long"), F.lit(modulus))
+    return value
 
 
 def content_key(family, context, question, options) -> Column:

@@ -52,8 +52,8 @@ def ascii_words(c) -> Column:
 
 
 def word_count(c) -> Column:
-    t = collapsed(c)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    """Runs of characters that aren't white space."""
+    return F.regexp_count(text_of(c), F.lit(f"[^{_SPACES}]+"))
 
 
 def sentences(c) -> Column:
