@@ -39,7 +39,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_TOKENS = 128
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 SEED = 17
 
 #: Large primes; any of them is prime to the number of a shard's blocks, so multiplying permutes them.

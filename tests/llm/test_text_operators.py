@@ -249,7 +249,7 @@ def brute_targets(sizes):
     return t
 
 
-@pytest.mark.parametrize("shard", [1 << 22, 3000])
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
 def test_mix(spark, sf_dir, shard):
     edges = edge_docs(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "source")
     docs = documents(spark, sf_dir).select("doc_id", "text", "source").unionByName(edges)
