@@ -5,13 +5,16 @@ side by side collapse into a repeated group, from the inside out, so pages of on
 template have few skeletons. A host's skeletons are aligned one after another
 into a union-free regular expression: equal items match, a group matches a single
 occurrence of its body, items that only one side has become optional, and texts
-that differ become slots; texts that are alike on every page stay constants.
+that differ become slots; texts that are alike on every page that has their place stay
+constants, and carry digests of the pages they were on (``MIN_PAGES`` different ones).
 
 The main text is the text inside ``article`` or ``main`` where a page has one, else
 all of the body, without elements that the markup names as something else (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles). Where
-no article is marked, the wrapper decides: its constants on hosts with at least
-``MIN_PAGES`` pages are template text and go, its slots stay.
+no article is marked, the wrapper decides, place by place: a constant that ``MIN_PAGES`` pages of
+different content have alike is template text and goes; slots, and texts at places that
+fewer pages have, stay. Repeats with a body of over ``MOST_BODY`` items aren't collapsed,
+so their texts have places of their own and fall under the same rule.
 
 Plan: one Arrow pass folds pages into (host, skeleton) rows within each task, two
 small shuffles merge them per skeleton and per host (through ``FOLDS`` parts of a
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from decisium.runtime import materialise
 
-#: Pages that a host must have before its constants count as template text.
+#: Pages of different content that must have a constant before it counts as template text.
 MIN_PAGES = 4
 FOLDS = 64
 BROADCAST_HOSTS = 20_000
@@ -238,11 +241,11 @@ def collapse(items: list[str], alphabet: Alphabet) -> tuple[list, list[int]]:
 
 
 def number_texts(form: list, values: list) -> list:
-    """``form`` with its texts as ["T", constant or None], in order of ``values``."""
+    """``form`` with its texts as ["T", *value], in order of ``values``."""
     feed = iter(values)
 
     def walk(items):
-        return [["T", next(feed)] if x == "T" else x if isinstance(x, str) else [x[0], walk(x[1])] for x in items]
+        return [["T", *next(feed)] if x == "T" else x if isinstance(x, str) else [x[0], walk(x[1])] for x in items]
 
     return walk(form)
 
@@ -267,12 +270,19 @@ def _shape(item) -> str:
     return f"({' '.join(map(_shape, item[1]))}){item[0]}"
 
 
+def _some(*contents: list[int]) -> list[int]:
+    """The ``MIN_PAGES`` smallest of the digests: enough to know whether that many pages differ."""
+    return sorted(set().union(*contents))[:MIN_PAGES]
+
+
 def _same(a, b):
     """The item that stands for both, whose shapes are equal."""
     if isinstance(a, str):
         return a
     if a[0] == "T":
-        return a if a[1] == b[1] else ["T", None]
+        if a[1] is None or a[1] != b[1]:
+            return ["T", None]
+        return ["T", a[1], _some(*a[2:], *b[2:])]
     return [a[0], [_same(x, y) for x, y in zip(a[1], b[1], strict=True)]]
 
 
@@ -300,39 +310,42 @@ def _core(item):
     return item[1][0] if not isinstance(item, str) and item[0] == "?" and len(item[1]) == 1 else item
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper of everything that ``a`` or ``b`` matches."""
-    a, b = _lift(a, b), _lift(b, a)
-    sa, sb = [_shape(_core(x)) for x in a], [_shape(_core(x)) for x in b]
-    if sa == sb:
-        return [_merged(x, y) for x, y in zip(a, b, strict=True)]
+def _steps(sa: list[str], sb: list[str]):
+    """(i, j) for items that a longest common subsequence matches, (i, None) and (None, j) for others, in order."""
     head = 0
-    while head < min(len(a), len(b)) and sa[head] == sb[head]:
+    while head < min(len(sa), len(sb)) and sa[head] == sb[head]:
         head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and sa[-1 - tail] == sb[-1 - tail]:
+    while tail < min(len(sa), len(sb)) - head and sa[-1 - tail] == sb[-1 - tail]:
         tail += 1
-    ma, mb = a[head : len(a) - tail], b[head : len(b) - tail]
-    xa, xb = sa[head : len(a) - tail], sb[head : len(b) - tail]
-    best = [[0] * (len(mb) + 1) for _ in range(len(ma) + 1)]
-    for i in range(len(ma) - 1, -1, -1):
+    m, n = len(sa) - tail, len(sb) - tail
+    best = [[0] * (n - head + 1) for _ in range(m - head + 1)]
+    for i in range(m - head - 1, -1, -1):
         row, below = best[i], best[i + 1]
-        for j in range(len(mb) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if xa[i] == xb[j] else max(below[j], row[j + 1])
-    out = [_merged(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
-    i = j = 0
-    while i < len(ma) and j < len(mb):
-        if xa[i] == xb[j]:
-            out.append(_merged(ma[i], mb[j]))
+        for j in range(n - head - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if sa[head + i] == sb[head + j] else max(below[j], row[j + 1])
+    yield from ((k, k) for k in range(head))
+    i = j = head
+    while i < m and j < n:
+        if sa[i] == sb[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(ma[i]))
+        elif best[i + 1 - head][j - head] >= best[i - head][j + 1 - head]:
+            yield i, None
             i += 1
         else:
-            out.append(_optional(mb[j]))
+            yield None, j
             j += 1
-    out += [_optional(x) for x in ma[i:]] + [_optional(x) for x in mb[j:]]
-    return out + [_merged(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+    yield from ((k, None) for k in range(i, m))
+    yield from ((None, k) for k in range(j, n))
+    yield from ((m + k, n + k) for k in range(tail))
+
+
+def align(a: list, b: list) -> list:
+    """The wrapper of everything that ``a`` or ``b`` matches."""
+    a, b = _lift(a, b), _lift(b, a)
+    steps = _steps([_shape(_core(x)) for x in a], [_shape(_core(x)) for x in b])
+    return [_optional(a[i]) if j is None else _optional(b[j]) if i is None else _merged(a[i], b[j]) for i, j in steps]
 
 
 def _optional(item):
@@ -357,6 +370,12 @@ def _text_mark(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) >> 1
 
 
+def _content_mark(page: Page) -> int:
+    """A digest of what the markup's names leave of a page; copies with other menus or adverts have equal ones."""
+    own = named_texts(page) or [b[0] for b in page.blocks]
+    return xxhash.xxh32_intdigest("\n".join(own).encode())
+
+
 def _page_form(page: Page, alphabet: Alphabet, memory: dict) -> tuple[str, list, list[int]]:
     raw = "\n".join(page.skeleton)
     found = memory.get(raw)
@@ -399,32 +418,34 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     pa.array([xxhash.xxh64_intdigest(k[1].encode()) >> 1 for k in keys], pa.int64()),
                     pa.array([held[k][0] for k in keys], pa.int64()),
                     pa.array([held[k][1] for k in keys], pa.list_(pa.int64())),
+                    pa.array([held[k][2] for k in keys], pa.list_(pa.int64())),
                 ],
-                names=["host", "skeleton", "mark", "n_pages", "texts"],
+                names=["host", "skeleton", "mark", "n_pages", "texts", "contents"],
             )
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parsed = Page(page or "", {})
                 name, _, places = _page_form(parsed, alphabet, memory)
-                texts = _constants(parsed, places)
+                texts, content = _constants(parsed, places), [_content_mark(parsed)]
                 key = (host_of(url), name)
                 if key in held:
                     old = held[key]
                     old[0] += 1
                     old[1] = [x if x == y else None for x, y in zip(old[1], texts, strict=True)]
+                    old[2] = _some(old[2], content)
                 else:
-                    held[key] = [1, texts]
+                    held[key] = [1, texts, content]
             if len(held) > 20_000:
                 yield rows()
                 held.clear()
         yield rows()
 
-    parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(fold_pages, "host string, skeleton string, mark long, n_pages long, texts array<long>")
+    parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(fold_pages, "host string, skeleton string, mark long, n_pages long, texts array<long>, contents array<long>")
     parts = parts.withColumn("fold", F.pmod("mark", F.lit(FOLDS)))
 
     def fold_skeletons(batches):
-        yield from _fold_sorted(batches, lambda r: (r[0], r[5]), lambda r: number_texts(json.loads(r[1]), r[4]), lambda r: r[3])
+        yield from _fold_sorted(batches, lambda r: (r[0], r[6]), lambda r: number_texts(json.loads(r[1]), [(t,) if t is None else (t, r[5]) for t in r[4]]), lambda r: r[3])
 
     def fold_hosts(batches):
         yield from _fold_sorted(batches, lambda r: (r[0], 0), lambda r: json.loads(r[3]), lambda r: r[2])
@@ -452,18 +473,42 @@ def _fold_sorted(batches, key, wrapper, pages):
     yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["host", "fold", "n_pages", "wrapper"])
 
 
-def template_texts(wrapper: list, n_pages: int) -> set[int]:
-    """The constants of a host's wrapper that count as template text: none unless it also has slots."""
-    found = texts_of(wrapper)
-    return {x for x in found if x is not None} if n_pages >= MIN_PAGES and None in found else set()
+def template_marks(wrapper: list, n_pages: int, form: list, n_texts: int) -> list[int | None]:
+    """For each text of a page's form the mark of the template text that the host's wrapper has at its place, or None.
+
+    Template text is alike on every page that has its place, and on at least
+    ``MIN_PAGES`` pages of different content; a wrapper without slots has none.
+    """
+    marks: list[int | None] = [None] * n_texts
+    if n_pages < MIN_PAGES or None not in texts_of(wrapper):
+        return marks
+
+    def walk(own, held) -> None:
+        for x, y in zip(own, held, strict=True):
+            if isinstance(x, str):
+                continue
+            if x[0] != "T":
+                walk(x[1], y[1])
+            elif y[1] is not None and len(y[2]) >= MIN_PAGES:
+                marks[x[1]] = y[1]
+
+    own, held = _lift(number_texts(form, [(i,) for i in range(n_texts)]), wrapper), [_core(x) for x in wrapper]
+    for i, j in _steps([_shape(x) for x in own], [_shape(x) for x in held]):
+        if i is not None and j is not None:
+            walk([own[i]], [held[j]])
+    return marks
+
+
+def named_texts(page: Page) -> list[str]:
+    """The texts that the markup's names leave."""
+    return [t for t, article, other, _ in page.blocks if (article or not page.has_article) and not other]
 
 
-def main_text(page: Page, template: set[int]) -> str:
+def main_text(page: Page, places: list[int], marks: list[int | None]) -> str:
+    """``places``: of each block its text in the form; ``marks``: of each text of the form, as from ``template_marks``."""
     if page.has_article:
-        own = [t for t, article, other, _ in page.blocks if article and not other]
-    else:
-        own = [t for t, _, other, _ in page.blocks if not other and _text_mark(t) not in template]
-    return "\n\n".join(own)
+        return "\n\n".join(named_texts(page))
+    return "\n\n".join(t for (t, _, other, _), k in zip(page.blocks, places, strict=True) if not other and (marks[k] is None or _text_mark(t) != marks[k]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -477,20 +522,24 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known: dict[str, set[int]] = {}
+        wrapped: dict[str, list] = {}
+        known: dict[tuple[str, str], list[int | None]] = {}
+        alphabet, memory = Alphabet(), {}
         for batch in batches:
             texts = []
             for page, name, n, wrapper in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 parsed = Page(page or "", {})
-                if parsed.has_article or not wrapper:
-                    template: set[int] = set()
-                else:
-                    if name not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[name] = template_texts(json.loads(wrapper), n)
-                    template = known[name]
-                texts.append(main_text(parsed, template))
+                skeleton, form, places = _page_form(parsed, alphabet, memory)
+                key = (name, skeleton)
+                if key not in known:
+                    if len(known) > 20_000:
+                        known.clear()
+                    if name not in wrapped:
+                        if len(wrapped) > 1000:
+                            wrapped.clear()
+                        wrapped[name] = json.loads(wrapper) if wrapper else []
+                    known[key] = template_marks(wrapped[name], n or 0, form, max(places, default=-1) + 1)
+                texts.append(main_text(parsed, places, known[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     keyed = keyed.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "host", "n_pages", "wrapper")

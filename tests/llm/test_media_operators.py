@@ -73,6 +73,23 @@ def test_wrappers_find_template_text(spark):
     assert found["site.example"]["n_pages"] == 12 and '["+",["<p>",["T",null]]]' in found["site.example"]["wrapper"]
 
 
+def test_text_at_places_that_few_pages_have_stays(spark):
+    """One-off markup, copies of a page, and a text that is template elsewhere on the page."""
+    once = {1: "<blockquote>A word of the captain.</blockquote>", 2: "<h2>Tides</h2>", 3: "<pre>x = 1</pre>", 4: "<ul><li>one item</ul>", 5: "<h3>All about ships</h3>"}
+    once |= {k: "<h4>Copied</h4><p>copied story</p>" for k in range(20, 26)}
+    menus = lambda i: f"<nav><a>m{i}</a></nav>"
+    rows = [(i, f"https://site.example/{i}", page(f"<div>All about ships</div><div><p>story {i if i < 20 else 20}</p>{once.get(i, '')}</div><div>Write to us</div>", menus(i))) for i in range(26)]
+    long = "".join(f"<p><b>x</b></p><h{k % 5 + 1}>t</h{k % 5 + 1}><section class=k{k}>part {k}</section>" for k in range(12))
+    rows.append((50, "https://site.example/50", page(f"<div>All about ships</div><div>{long * 2}</div><div>Write to us</div>")))
+    rows += [(60 + i, f"https://other.example/{i}", page(f"<div>Ship news</div><p>tale {i}</p>{'<blockquote>Only here.</blockquote>' if i == 3 else ''}")) for i in range(8)]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[60 + i] for i in range(8)] == [[f"tale {i}", "Only here."] if i == 3 else [f"tale {i}"] for i in range(8)]
+    for i, more in {0: [], 1: ["A word of the captain."], 2: ["Tides"], 3: ["x = 1"], 4: ["one item"], 5: ["All about ships"]}.items():
+        assert got[i] == [f"story {i}", *more]
+    assert all(got[i] == ["story 20", "Copied", "copied story"] for i in range(20, 26))
+    assert [t for t in got[50] if t.startswith("part")] == [f"part {k}" for k in range(12)] * 2
+
+
 def test_alignment_keeps_both_sides():
     a = ["<a>", ["T", 1], "</a>", "<b>", ["+", ["<p>", ["T", None]]], "</b>"]
     b = ["<a>", ["T", 2], "</a>", "<hr>", "<b>", "<p>", ["T", 5], "</b>"]
