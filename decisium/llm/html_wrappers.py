@@ -10,7 +10,9 @@ constants, and carry digests of the pages they were on (``MIN_PAGES`` different
 
 The main text is the text inside ``article`` or ``main`` where a page has one, else
 all of the body, without elements that the markup names as something else (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles). Where
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles); an
+article inside one of those isn't one. Class words of ``html`` and ``body`` don't count.
+Where the words leave nothing and no article is marked, only element names count. Where
 no article is marked, the wrapper decides, place by place: a constant that ``MIN_PAGES`` pages of
 different content have alike is template text and goes; slots, and texts at places that
 fewer pages have, stay. Repeats with a body of over ``MOST_BODY`` items aren't collapsed,
@@ -60,6 +62,8 @@ _OTHER_WORDS = frozenset(
     gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related
     replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets contentinfo complementary""".split()
 )
+#: In a class name, what follows one of these says what the element has or lacks, not what it is.
+_STATES = frozenset("has with no without".split())
 _RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?P<rest>[^>]*)>(?P<inside>.*?)(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
@@ -93,20 +97,40 @@ def tokens(page: str):
             yield ">", m["raw"].lower(), ""
 
 
+def class_words(element: str, named: str) -> set[str]:
+    """The words of class, id and role that tell what an element is.
+
+    Of ``article`` and ``main`` only whole class names count, of ``html`` and ``body`` none:
+    their classes describe the page.
+    """
+    if not named or element in ("html", "body"):
+        return set()
+    if element in ("article", "main"):
+        return set(named.split())
+    found = set()
+    for name in named.split():
+        for word in _WORD.findall(name):
+            if word in _STATES:
+                break
+            found.add(word)
+    return found
+
+
 class Page:
     """A page's blocks and its skeleton.
 
-    ``blocks``: (text, inside an article, named as something else, place of its text in the skeleton).
+    ``blocks``: (text, inside an article, named as something else, in an element of another kind, place of its text in the skeleton).
+    ``has_article``: an article that isn't inside something else.
     """
 
     __slots__ = ("blocks", "skeleton", "has_article")
 
     def __init__(self, page: str, alphabet: dict[str, str]):
-        stack: list[tuple[str, bool, bool]] = []  # name, in article, other
+        stack: list[tuple[str, bool, bool, bool]] = []  # name, in article, other, in an element of another kind
         out: list[str] = []
-        blocks: list[tuple[str, bool, bool, int]] = []
+        blocks: list[tuple[str, bool, bool, bool, int]] = []
         parts: list[str] = []
-        state = (False, False)
+        state = (False, False, False)
         self.has_article = False
 
         def flush() -> None:
@@ -134,14 +158,15 @@ class Page:
                             break
                         if stack[i][0] in ("ul", "ol", "table", "article", "body", "div", "section"):
                             break
-                up = stack[-1] if stack else ("", False, False)
-                words = set(_WORD.findall(named)) if named else ()
-                article = up[1] or name in ("article", "main") or (bool(words) and "main" in words and name in ("div", "section"))
+                up = stack[-1] if stack else ("", False, False, False)
+                words = class_words(name, named)
+                kind_other = up[3] or name in _OTHER or (name == "header" and not up[1])
+                other = up[2] or kind_other or not _OTHER_WORDS.isdisjoint(words)
+                article = up[1] or (not other and (name in ("article", "main") or ("main" in words and name in ("div", "section"))))
                 self.has_article |= article
-                other = up[2] or name in _OTHER or (name == "header" and not up[1]) or bool(words and not _OTHER_WORDS.isdisjoint(words))
                 out.append(f"<{name}{' ' + named if named else ''}>")
                 if name not in _VOID:
-                    stack.append((name, article, other))
+                    stack.append((name, article, other, kind_other))
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -149,7 +174,7 @@ class Page:
                         break
                 if name not in _SIBLINGS:  # their ends may be left out, so they say nothing
                     out.append(f"</{name}>")
-            state = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            state = stack[-1][1:] if stack else (False, False, False)
         flush()
         self.blocks = blocks
         self.skeleton = out
@@ -372,8 +397,8 @@ def _text_mark(text: str) -> int:
 
 def _content_mark(page: Page) -> int:
     """A digest of what the markup's names leave of a page; copies with other menus or adverts have equal ones."""
-    own = named_texts(page) or [b[0] for b in page.blocks]
-    return xxhash.xxh32_intdigest("\n".join(own).encode())
+    own = named_blocks(page) or range(len(page.blocks))
+    return xxhash.xxh32_intdigest("\n".join(page.blocks[i][0] for i in own).encode())
 
 
 def _page_form(page: Page, alphabet: Alphabet, memory: dict) -> tuple[str, list, list[int]]:
@@ -499,16 +524,18 @@ def template_marks(wrapper: list, n_pages: int, form: list, n_texts: int) -> lis
     return marks
 
 
-def named_texts(page: Page) -> list[str]:
-    """The texts that the markup's names leave."""
-    return [t for t, article, other, _ in page.blocks if (article or not page.has_article) and not other]
+def named_blocks(page: Page) -> list[int]:
+    """The numbers of the blocks that the markup's names leave, from the first of these that has any: the article, the body
+    without elements named as something else, and, where no article is marked, the body without elements of another kind."""
+    own = [i for i, b in enumerate(page.blocks) if b[1] and not b[2]]
+    own = own or [i for i, b in enumerate(page.blocks) if not b[2]]
+    return own if own or page.has_article else [i for i, b in enumerate(page.blocks) if not b[3]]
 
 
 def main_text(page: Page, places: list[int], marks: list[int | None]) -> str:
     """``places``: of each block its text in the form; ``marks``: of each text of the form, as from ``template_marks``."""
-    if page.has_article:
-        return "\n\n".join(named_texts(page))
-    return "\n\n".join(t for (t, _, other, _), k in zip(page.blocks, places, strict=True) if not other and (marks[k] is None or _text_mark(t) != marks[k]))
+    own = [(page.blocks[i][0], marks[places[i]]) for i in named_blocks(page)]
+    return "\n\n".join(t for t, mark in own if page.has_article or mark is None or _text_mark(t) != mark)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -90,6 +90,20 @@ def test_text_at_places_that_few_pages_have_stays(spark):
     assert [t for t in got[50] if t.startswith("part")] == [f"part {k}" for k in range(12)] * 2
 
 
+def test_class_words_don_t_take_whole_texts(spark):
+    story = "<h1>T</h1><p>one</p>"
+    comments = "<div class=comments><article><p>no</p></article></div>"
+    cases = [
+        f"<body class='home has-sidebar'><div>{story}</div><div class=sidebar>no</div></body>", page(f"<article class='post has-comments'>{story}<div class=comments>no</div></article>"),
+        page(f"<div id=page class='page-with-sidebar no-banner'>{story}</div>"), page(f"<div>{story}</div>{comments}"), page(f"<div>{story}</div><aside><article>no</article></aside><footer><article>no</article></footer>"),
+        page(f"<div>{story}</div><article class=comment>no</article>"), page(f"<div class=search-page>{story}</div><nav>no</nav>"), page(f"<main class=search>{story}</main><form>no</form>"),
+        page(f"<article></article><div>{story}</div>{comments}"),
+    ]
+    rows = [(i, f"http://h{i}/", x) for i, x in enumerate(cases)] + [(99, "http://h/", page(f"<article></article>{comments}"))]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "T\n\none" for i in range(len(cases))} | {99: ""}
+
+
 def test_alignment_keeps_both_sides():
     a = ["<a>", ["T", 1], "</a>", "<b>", ["+", ["<p>", ["T", None]]], "</b>"]
     b = ["<a>", ["T", 2], "</a>", "<hr>", "<b>", "<p>", ["T", 5], "</b>"]
