@@ -8,12 +8,14 @@ occurrence of its body, items that only one side has become optional, and texts
 that differ become slots; texts that are alike on every page that has their place stay
 constants, and carry digests of the pages they were on (``MIN_PAGES`` different ones).
 
-The main text is the text inside ``article`` or ``main`` where a page has one, else
+The main text is chosen by names, and the wrapper takes the template text out of it. The
+names leave the text inside ``article`` or ``main`` where a page has one, else
 all of the body, without elements that the markup names as something else (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles); an
 article inside one of those isn't one. Class words of ``html`` and ``body`` don't count.
-Where the words leave nothing and no article is marked, only element names count. Where
-no article is marked, the wrapper decides, place by place: a constant that ``MIN_PAGES`` pages of
+Where the words leave nothing and no article is marked, only element names count.
+
+On every page the wrapper decides, place by place: a constant that ``MIN_PAGES`` pages of
 different content have alike is template text and goes; slots, and texts at places that
 fewer pages have, stay. Repeats with a body of over ``MOST_BODY`` items aren't collapsed,
 so their texts have places of their own and fall under the same rule.
@@ -535,7 +537,7 @@ def named_blocks(page: Page) -> list[int]:
 def main_text(page: Page, places: list[int], marks: list[int | None]) -> str:
     """``places``: of each block its text in the form; ``marks``: of each text of the form, as from ``template_marks``."""
     own = [(page.blocks[i][0], marks[places[i]]) for i in named_blocks(page)]
-    return "\n\n".join(t for t, mark in own if page.has_article or mark is None or _text_mark(t) != mark)
+    return "\n\n".join(t for t, mark in own if mark is None or _text_mark(t) != mark)
 
 
 def extract(pages: DataFrame) -> DataFrame:

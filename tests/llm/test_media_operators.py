@@ -104,6 +104,15 @@ def test_class_words_don_t_take_whole_texts(spark):
     assert got == {i: "T\n\none" for i in range(len(cases))} | {99: ""}
 
 
+def test_wrappers_decide_inside_articles(spark):
+    """A line that all of a host's articles share goes, by its place; an article's copies don't make its text a template."""
+    rows = [(i, f"https://a.example/{i}", page(f"<article><h1>story {i}</h1><div>Share this page</div><p>text {i}</p><p>Share this page</p></article>")) for i in range(6)]
+    rows += [(10 + i, f"https://b.example/{i}", page("<article><h1>one story</h1><p>its text</p></article>", f"<nav><a>m{i}</a></nav>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"story {i}\n\ntext {i}\n\nShare this page" for i in range(6)]
+    assert {got[10 + i] for i in range(6)} == {"one story\n\nits text"}
+
+
 def test_alignment_keeps_both_sides():
     a = ["<a>", ["T", 1], "</a>", "<b>", ["+", ["<p>", ["T", None]]], "</b>"]
     b = ["<a>", ["T", 2], "</a>", "<hr>", "<b>", "<p>", ["T", 5], "</b>"]
