@@ -6,12 +6,14 @@ and the excess is shared again by weight. Each source's documents are dealt by a
 seeded hash into shards of about ``shard_tokens`` tokens, and a shard's documents,
 in seeded order, are one stream cut into blocks of ``block_tokens`` tokens.
 
-Blocks go first to sources by the highest quotients target / 1, / 3, / 5, ...,
-then each source's blocks go to its shards by the highest quotients of their
-sizes: an integer quota for each shard. A shard of m blocks with quota q takes
-every block q div m times and q mod m blocks once more, those that a seeded
-permutation of the block numbers puts first. A document's ``taken`` is the sum
-over the blocks that it lies in.
+Seats are counted in the tokens that blocks really hold, as the last block of a
+shard is short and a small source has no other. They go first to sources by the
+highest quotients target / 1, / 3, / 5, ..., ``most`` times the size at most, then
+each source's seats go to its shards by the highest quotients of their sizes: an
+integer quota for each shard. A shard of m tokens with quota q takes every block
+q div m times and q mod m tokens once more: whole blocks in the order of a seeded
+permutation of the block numbers, and the beginning of the next one. A document's
+``taken`` is the sum over the blocks that it lies in.
 
 Plan: one scan counts words natively and writes (row, id, source, size) to the
 shared folder. Sources and shards are aggregated from that, so no text is
@@ -106,8 +108,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return held.withColumn("target", F.least(ceiling, F.col("weight") * level))
 
 
-def source_seats(sources: DataFrame, block_tokens: int) -> DataFrame:
-    """``sources`` with seats: all blocks of the mix by the highest quotients of the targets.
+def source_seats(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """``sources`` with seats: all tokens of the mix by the highest quotients of the targets.
 
     The level that the last quotient reaches is searched by aggregates of 63
     levels at once; what ties or rounding leave is given out by a top-k.
@@ -115,12 +117,14 @@ def source_seats(sources: DataFrame, block_tokens: int) -> DataFrame:
     held = materialise(sources, "targets")
     r = held.agg(F.sum("target").alias("t"), F.max("target").alias("m")).first()
     total = r["t"] or 0.0
-    seats = int(round(total / block_tokens))
+    seats = int(round(total))
     if not seats:
         return held.withColumn("seats", F.lit(0).cast("long"))
 
+    ceiling = F.floor(F.col("source_size") * most).cast("long")
+
     def count(level: float) -> Column:
-        return F.floor((F.col("target") / level + 1) / 2).cast("long")
+        return F.least(ceiling, F.floor((F.col("target") / level + 1) / 2).cast("long"))
 
     low, high = total / seats / 8, 2.0 * r["m"]
     for _ in range(9):
@@ -134,7 +138,7 @@ def source_seats(sources: DataFrame, block_tokens: int) -> DataFrame:
     held = held.withColumn("seats", count(high))
     left = seats - (held.agg(F.sum("seats")).first()[0] or 0)
     if left > 0:
-        extra = held.filter(F.col("target") > 0).orderBy((F.col("target") / (2 * F.col("seats") + 1)).desc(), "rank").limit(left).select(F.col("rank").alias("extra_rank"))
+        extra = held.filter((F.col("target") > 0) & (F.col("seats") < ceiling)).orderBy((F.col("target") / (2 * F.col("seats") + 1)).desc(), "rank").limit(left).select(F.col("rank").alias("extra_rank"))
         held = held.join(extra, F.col("rank") == F.col("extra_rank"), "left").withColumn("seats", F.col("seats") + F.col("extra_rank").isNotNull().cast("long")).drop("extra_rank")
     return held
 
@@ -163,27 +167,31 @@ def mix(
     sized = materialise(sized, "sizes")
     key = ["no_source", "src"]
     by_source = sized.groupBy(*key).agg(F.sum("size").alias("source_size"))
-    planned = materialise(source_seats(targets(by_source, weights, share, most), block_tokens), "plan")
+    planned = materialise(source_seats(targets(by_source, weights, share, most), most), "plan")
     planned = planned.select(*key, "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("source_size") / float(shard_tokens))).cast("long").alias("shards"))
     dealt = sized.join(planned, key).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("shards")))
     shards = dealt.groupBy(*key, "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
 
     def apportion(pdf):
         pdf = pdf.sort_values("shard", ignore_index=True)
-        blocks = -(-pdf["shard_size"].to_numpy() // block_tokens)
-        quota = sainte_lague(pdf["shard_size"].to_numpy(), int(pdf["seats"].iloc[0]), blocks * most)
-        return pdf[[*key, "shard"]].assign(blocks=blocks, quota=quota)
+        size = pdf["shard_size"].to_numpy()
+        quota = sainte_lague(size, int(pdf["seats"].iloc[0]), size * most)
+        return pdf[[*key, "shard", "shard_size"]].assign(blocks=-(-size // block_tokens), quota=quota)
 
-    quotas = shards.groupBy(*key).applyInPandas(apportion, "no_source boolean, src string, shard long, blocks long, quota long")
+    quotas = shards.groupBy(*key).applyInPandas(apportion, "no_source boolean, src string, shard long, shard_size long, blocks long, quota long")
     quotas = materialise(quotas, "quotas").filter(F.col("blocks") > 0)
     quotas = quotas.withColumns(
         {
-            "every": F.floor(F.col("quota") / F.col("blocks")).cast("long"),
-            "more": F.pmod("quota", "blocks").cast("long"),
+            "every": F.expr("quota div shard_size"),
+            "more": F.pmod("quota", "shard_size").cast("long"),
             "step": F.get(F.array(*[F.lit(s) for s in _STEPS]), F.pmod(F.xxhash64(F.lit(seed), F.lit("step"), *key, F.col("shard")), F.lit(len(_STEPS))).cast("int")).cast("long"),
             "turn": F.pmod(F.xxhash64(F.lit(seed), F.lit("turn"), *key, F.col("shard")), F.col("blocks")),
         }
     )
+    # the permuted blocks as one stream of whole blocks: what lies before ``stop`` comes once more
+    short = F.pmod("shard_size", F.lit(block_tokens))
+    before = block_turn(F.col("blocks") - 1) * block_tokens + short
+    quotas = quotas.withColumn("stop", F.col("more") + F.when((short > 0) & (F.col("more") >= before), block_tokens - short).otherwise(0)).drop("shard_size")
     order = Window.partitionBy(*key, "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("size")), "doc_id", "size", *own)
     placed = dealt.withColumn("start", F.sum("size").over(order) - F.col("size"))
     placed = placed.join(quotas, [*key, "shard"], "left")
@@ -191,19 +199,26 @@ def mix(
     first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
 
     def part(a: Column, k: Column) -> Column:
-        overlap = F.least((k + 1) * block_tokens, F.col("start") + F.col("size")) - F.greatest(k * block_tokens, F.col("start"))
-        return a + overlap * block_times(k)
+        begin = F.greatest(F.col("start") - k * block_tokens, F.lit(0))
+        end = F.least(F.col("start") + F.col("size") - k * block_tokens, F.lit(block_tokens))
+        return a + (end - begin) * F.col("every") + F.greatest(F.least(end, F.col("stop") - block_turn(k) * block_tokens) - begin, F.lit(0))
 
     taken = F.when(
         (F.col("size") > 0) & F.col("blocks").isNotNull(),
         F.aggregate(F.sequence(first, F.greatest(first, last)), F.lit(0).cast("long"), lambda a, k: (part(a, k)).cast("long")),
     ).otherwise(F.lit(0).cast("long"))
-    return placed.select(*own, "doc_id", "size", "source_size", "target", taken.alias("taken"), "start", "blocks", "every", "more", "step", "turn")
+    return placed.select(*own, "doc_id", "size", "source_size", "target", taken.alias("taken"), "start", "blocks", "every", "stop", "step", "turn")
+
+
+def block_turn(k: Column) -> Column:
+    """The place of block ``k`` among its shard's permuted blocks."""
+    return F.pmod(F.pmod(k, F.col("blocks")) * F.col("step") + F.col("turn"), F.col("blocks"))
 
 
-def block_times(k: Column) -> Column:
-    """How often block ``k`` of a row's shard is taken."""
-    return F.col("every") + F.when(F.pmod(F.pmod(k, F.col("blocks")) * F.col("step") + F.col("turn"), F.col("blocks")) < F.col("more"), F.lit(1)).otherwise(F.lit(0))
+def token_times(at: Column, block_tokens: int) -> Column:
+    """How often the token at ``at`` of a row's shard is taken."""
+    place = block_turn(F.floor(at / float(block_tokens))) * block_tokens + F.pmod(at, F.lit(block_tokens))
+    return F.col("every") + F.when(place < F.col("stop"), F.lit(1)).otherwise(F.lit(0))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, most: int = MOST, block_tokens: int = BLOCK_TOKENS, **rest) -> DataFrame:
@@ -217,10 +232,10 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, most: int = MOST, block_t
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("own_row"), "doc_id", "source", "text")
     held = materialise(rows.withColumn("row_no", F.monotonically_increasing_id()), "mixed")
     plan = mix(held, seed=seed, most=most, block_tokens=block_tokens, **rest).filter(F.col("taken") > 0)
-    plan = plan.select(F.col("row_no").alias("plan_row"), "start", "blocks", "every", "more", "step", "turn")
+    plan = plan.select(F.col("row_no").alias("plan_row"), "start", "blocks", "every", "stop", "step", "turn")
     df = held.join(plan, F.col("row_no") == F.col("plan_row"))
     df = df.withColumn("own_words", words(F.col("text"))).withColumn(
-        "times", F.transform("own_words", lambda w, i: block_times(F.floor((F.col("start") + i) / float(block_tokens))))
+        "times", F.transform("own_words", lambda w, i: token_times(F.col("start") + i, block_tokens))
     )
     df = df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.array_max("times").cast("int"))))
     whole = F.array_min("times") >= F.col("copy_no")

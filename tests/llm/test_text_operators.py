@@ -289,6 +289,22 @@ def test_mixed_documents_hold_what_is_taken(spark, sf_dir):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_gives_small_sources_their_share(spark):
+    """Sources whose blocks are short get their targets, in the plan and in the documents."""
+    n = {f"a{k}": 4000 for k in range(3)} | {f"b{k:02}": 30 for k in range(30)} | {f"c{k:02}": 140 for k in range(10)} | {"d": 1}
+    docs = spark.createDataFrame([(i, s, " ".join(f"w{j}" for j in range(size))) for i, (s, size) in enumerate(n.items())], "doc_id long, source string, text string")
+    want, total = brute_targets(n), round(1.5 * sum(n.values()))
+    for shard in (1 << 20, 300):
+        plan = mixing.mix(docs, shard_tokens=shard).collect()
+        assert sum(r["taken"] for r in plan) == total
+        for r, (s, size) in zip(sorted(plan), n.items(), strict=True):
+            assert r["taken"] <= 2 * size and abs(r["taken"] - want[s]) <= 1
+    words = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - want[s]) <= 1 for s in n)
+
+
 def brute_spans(text, rules):
     text = text or ""
     out = []
