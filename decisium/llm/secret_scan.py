@@ -231,10 +231,19 @@ def segments(texts: list[bytes], most: int = SEGMENT_BYTES):
         yield first, len(texts)
 
 
+_QUOTE = re.compile("[\"']")
+
+
 def redact(text: str, spans: list[tuple[int, str, int, int]]) -> str:
-    """``text`` with each stretch of overlapping spans replaced by ``[kind]`` of its first span."""
+    """``text`` with each stretch of overlapping spans replaced by ``[kind]`` of its first span.
+
+    A quote that closes the last one opened within a span goes with it: ``token='abcdef'`` becomes ``[assign]``.
+    """
     out, at = [], 0
     for _, kind, a, b in spans:
+        quotes = _QUOTE.findall(text, a, b)
+        if quotes and text.startswith(quotes[-1], b):
+            b += 1
         if a < at:
             at = max(at, b)
             continue
