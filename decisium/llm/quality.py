@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decisium.llm.words import SPACE_RUN, words
+from decisium.llm.words import SPACES, spaced, words
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.1
@@ -38,36 +38,47 @@ WINDOW = 8
 VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
-def ngram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
-    """array<int>: the buckets of all words, then of all neighbouring pairs."""
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pairs = F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-        F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-    )
-    return F.concat(single, pairs)
+def _shifted(array: Column, by: int, size: Column) -> Column:
+    """``size`` elements (none below 0) of ``array`` from place ``by`` on."""
+    return F.slice(array, 1 + by, F.greatest(size, F.lit(0)))
+
+
+def pair_hashes(w: Column) -> Column:
+    """array<bigint>: the hash of each word and the next; the hash of a struct is that of its fields."""
+    both = F.arrays_zip(_shifted(w, 0, F.size(w) - 1).alias("a"), _shifted(w, 1, F.size(w) - 1).alias("b"))
+    return F.transform(both, lambda s: F.xxhash64(s))
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """``df`` (with text) and w, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """``df`` (with text) without text, and with hashes, pairs, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
-    A repeat window is ``WINDOW`` neighbouring words; windows are told apart by a
-    64-bit hash. Only texts in which some hash occurs twice are sorted to find
-    which words lie in such windows.
+    A repeat window is ``WINDOW`` neighbouring words, hashed as its ``WINDOW`` / 2 pairs
+    side by side; windows are told apart by that 64-bit hash. Only texts in which some
+    hash occurs twice are sorted to find which words lie in such windows.
     """
+    own = [c for c in df.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
-    n = F.size("w")
-    df = df.withColumn("w", words(F.col("text"))).withColumn("lines", lines)
-    df = df.withColumn(
-        "win",
-        F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))
-        ),
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    df = df.select(
+        *own,
+        words(F.col("text")).alias("w"),
+        F.length(F.replace(spaced(F.col("text")), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        lines.alias("lines"),
+    )
+    df = df.select(
+        *own,
+        F.size("w").cast("long").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"),
+        pair_hashes(F.col("w")).alias("pairs"),
     )
+    windows = F.arrays_zip(*[_shifted(F.col("pairs"), k, F.size("pairs") - (WINDOW - 2)).alias(f"p{k}") for k in range(0, WINDOW, 2)])
+    df = df.withColumn("win", F.transform(windows, lambda s: F.xxhash64(s)))
     some = F.size("win") > F.size(F.array_distinct("win"))
-    df = df.withColumn("win", F.when(some, F.array_sort(F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    df = df.withColumn("win", F.when(some, F.array_sort(F.transform("win", lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i"))))))
 
     def again(e: Column, k: Column) -> Column:
         before = F.get("win", F.greatest(k - 1, F.lit(0)))["h"]
@@ -80,24 +91,22 @@ def base_counts(df: DataFrame) -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x.cast("long"),
     )
-    return df.select(
-        *[c for c in df.columns if c not in ("win", "lines")],
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, SPACE_RUN, "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    return df.select(*[c for c in df.columns if c != "win"], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, target_rows: int = TARGET_ROWS) -> Column:
     """array<double> literal: the log ratio of each bucket, counted over all of ``docs``."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     trusted = good.select(F.col("doc_id").alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(target_rows)
+    w = F.col("w")
+    both = F.arrays_zip(w.alias("a"), _shifted(w, 1, F.size(w) - 1).alias("b"))  # the last word has no next one
     grams = (
-        docs.select(F.col("doc_id").alias("own_id"), "text")
+        docs.select(F.col("doc_id").alias("own_id"), words(F.col("text")).alias("w"))
         .join(F.broadcast(trusted), F.col("own_id") == F.col("trusted_id"), "left")
-        .select(F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("bucket"), F.col("trusted_id").isNotNull().cast("long").alias("is_target"))
+        .select(F.explode(both).alias("s"), F.col("trusted_id").isNotNull().cast("long").alias("is_target"))
+        .select(F.explode(F.array(F.xxhash64("s.a"), F.when(F.col("s.b").isNotNull(), F.xxhash64("s.a", "s.b")))).alias("h"), "is_target")
+        .filter(F.col("h").isNotNull())
+        .select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "is_target")
     )
     counts = grams.groupBy("bucket").agg(F.count("*").cast("double").alias("raw"), F.sum("is_target").cast("double").alias("target"))
     # one row of a fixed number of buckets
@@ -118,9 +127,13 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     """(own_row, doc_id, base counts, base_failed, score, kept) of every row; own_row holds all columns of ``docs``."""
     ratios = log_ratios(docs, labels, buckets, smoothing, target_rows)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("own_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    df = base_counts(rows).withColumn("grams", ngram_buckets(F.col("w"), buckets))
-    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(ratios, b))
-    df = df.withColumn("score", total / F.greatest(F.size("grams"), F.lit(1)))
+    df = base_counts(rows)
+
+    def total(hashes: str) -> Column:
+        return F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(ratios, F.pmod(h, F.lit(buckets))))
+
+    n_grams = F.size("hashes") + F.size("pairs")
+    df = df.withColumn("score", (total("hashes") + total("pairs")) / F.greatest(n_grams, F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # one element per row: a later filter on a verdict stays above this and doesn't repeat all of its expressions
