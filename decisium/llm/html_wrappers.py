@@ -1,31 +1,33 @@
 """Main text of web pages through wrappers inferred per host.
 
-A page is a stream of tags (name and class words) and texts. Repeats that stand
-side by side collapse into a repeated group, from the inside out, so pages of one
+A page is a stream of tags (name and class names without digits) and texts. Repeats that
+stand side by side collapse into a repeated group, from the inside out, so pages of one
 template have few skeletons. A host's skeletons are aligned one after another
 into a union-free regular expression: equal items match, a group matches a single
 occurrence of its body, items that only one side has become optional, and texts
 that differ become slots; texts that are alike on every page that has their place stay
 constants, and carry digests of the pages they were on (``MIN_PAGES`` different ones).
 
-The main text is chosen by names, and the wrapper takes the template text out of it. The
-names leave the text inside ``article`` or ``main`` where a page has one, else
-all of the body, without elements that the markup names as something else (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles); an
-article inside one of those isn't one. Class words of ``html`` and ``body`` don't count.
-Where the words leave nothing and no article is marked, only element names count.
-
-On every page the wrapper decides, place by place: a constant that ``MIN_PAGES`` pages of
-different content have alike is template text and goes; slots, and texts at places that
-fewer pages have, stay. Repeats with a body of over ``MOST_BODY`` items aren't collapsed,
-so their texts have places of their own and fall under the same rule.
-
-Plan: one Arrow pass folds pages into (host, skeleton) rows within each task, two
-small shuffles merge them per skeleton and per host (through ``FOLDS`` parts of a
-host, so a host's skeletons needn't meet before they are folded), and a second
-pass extracts each page where it is. Page bodies aren't shuffled while the
-wrappers of at most ``BROADCAST_HOSTS`` hosts, counted first, go to every task;
-beyond that pages are joined by host.
+On every page the wrapper decides first, place by place: a constant that ``MIN_PAGES``
+pages of different content have alike is template text and goes; slots, and texts at places
+that fewer pages have, stay. Repeats with a body of over ``MOST_BODY`` items aren't
+collapsed, so their texts have places of their own and fall under the same rule.
+
+What it leaves is divided by names: elements that the markup names as something else (menus,
+headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) go. Class
+words of ``html`` and ``body`` don't count. Within an article a word that is only part of a
+class name and may as well name a subject (``entry-header``, ``search-theory``) takes an
+element away only where all of its text is links. Of the rest the text inside ``article`` or
+``main`` is the main text, unless the text outside of them is ``OUTWEIGHS`` times as long (a
+teaser in an article, the body in a ``div``); then, and where no article is marked, it is all
+of the rest. Where nothing is left and no article is marked, only element names count.
+
+Plan: one Arrow pass folds pages into (host, skeleton) rows within each task, small
+shuffles merge them per skeleton and per host (through ``FOLDS`` parts of a host, step by
+step, so a host's skeletons needn't meet before they are folded), and a second
+pass extracts each page where it is. The wrappers of the hosts with the most pages go to
+every task, ``BROADCAST_BYTES`` of them at most, by their measured sizes; only pages of
+hosts beyond are joined by host, of which none has many pages then.
 
 Edge cases: null and empty html give the empty text. Unclosed and stray tags,
 cut-off entities and comments are read as browsers do. Pages without a host share
@@ -47,8 +49,11 @@ from decisium.runtime import materialise
 
 #: Pages of different content that must have a constant before it counts as template text.
 MIN_PAGES = 4
-FOLDS = 64
-BROADCAST_HOSTS = 20_000
+#: Parts of a host after each step of folding.
+FOLDS = (4096, 64)
+BROADCAST_BYTES = 64 << 20
+#: How many times as long as an article's text the text outside must be for the article not to decide.
+OUTWEIGHS = 2
 #: Longest body, in items, of a repeated group.
 MOST_BODY = 24
 
@@ -64,6 +69,10 @@ _OTHER_WORDS = frozenset(
     gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related
     replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets contentinfo complementary""".split()
 )
+#: Of these, what may be part of a subject's name within an article.
+_SUBJECT_WORDS = frozenset(
+    "ad ads banner consent dropdown footer header login menu nav notice notices promo promoted promotion related search share sharing signup social subscribe".split()
+)
 #: In a class name, what follows one of these says what the element has or lacks, not what it is.
 _STATES = frozenset("has with no without".split())
 _RAW = "script|style|textarea|title|noscript|template|iframe|svg"
@@ -73,16 +82,14 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that a new one of the same kind closes.
 _SIBLINGS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 _SIBLINGS = {k: frozenset(v.split()) for k, v in _SIBLINGS.items()}
 
 
 def tokens(page: str):
-    """("<", name, other) for a start tag, (">", name, "") for an end tag, ("T", text, "") for text.
-
-    ``other`` says that the element's class, id or role names something other than the article.
-    """
+    """("<", name, attributes) for a start tag, (">", name, "") for an end tag, ("T", text, "") for text."""
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
@@ -92,66 +99,85 @@ def tokens(page: str):
             if m["end"]:
                 yield ">", name, ""
             else:
-                named = " ".join("".join(g) for g in _NAMED.findall(m["attrs"])).lower() if m["attrs"] else ""
-                yield "<", name, named
+                yield "<", name, m["attrs"]
         elif m["raw"]:
             yield "<", m["raw"].lower(), ""
             yield ">", m["raw"].lower(), ""
 
 
-def class_words(element: str, named: str) -> set[str]:
-    """The words of class, id and role that tell what an element is.
+def _values(pattern: re.Pattern, attributes: str) -> str:
+    return " ".join("".join(g) for g in pattern.findall(attributes)).lower() if attributes else ""
+
+
+def item_of(element: str, attributes: str) -> str:
+    """What stands for a start tag in skeletons: ids, and class names with digits, belong to a page rather than to a template."""
+    stable = [c for c in _values(_CLASS, attributes).split() if c.isalpha() or not any(map(str.isdigit, c))]
+    return f"<{' '.join([element, *stable])}>"
+
 
-    Of ``article`` and ``main`` only whole class names count, of ``html`` and ``body`` none:
+def named_other(element: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(class, id or role name the element as something else, they may do so).
+
+    Of ``article`` and ``main`` only whole names count, of ``html`` and ``body`` none:
     their classes describe the page.
     """
+    named = _values(_NAMED, attributes).split()
     if not named or element in ("html", "body"):
-        return set()
-    if element in ("article", "main"):
-        return set(named.split())
-    found = set()
-    for name in named.split():
-        for word in _WORD.findall(name):
-            if word in _STATES:
-                break
-            found.add(word)
-    return found
+        return False, False
+    sure = not _OTHER_WORDS.isdisjoint(named)
+    maybe = False
+    if element not in ("article", "main"):
+        for name in named:
+            for word in _WORD.findall(name):
+                if word in _STATES:
+                    break
+                if word in _OTHER_WORDS:
+                    if in_article and word in _SUBJECT_WORDS:
+                        maybe = True
+                    else:
+                        sure = True
+    return sure, maybe
 
 
 class Page:
     """A page's blocks and its skeleton.
 
-    ``blocks``: (text, inside an article, named as something else, in an element of another kind, place of its text in the skeleton).
+    ``blocks``: (text, inside an article, named as something else, perhaps so, in an element of another kind, all of it links).
     ``has_article``: an article that isn't inside something else.
     """
 
     __slots__ = ("blocks", "skeleton", "has_article")
 
-    def __init__(self, page: str, alphabet: dict[str, str]):
-        stack: list[tuple[str, bool, bool, bool]] = []  # name, in article, other, in an element of another kind
+    def __init__(self, page: str):
+        stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, and the state of what is inside
         out: list[str] = []
-        blocks: list[tuple[str, bool, bool, bool, int]] = []
+        blocks: list[tuple[str, bool, bool, bool, bool, bool]] = []
         parts: list[str] = []
-        state = (False, False, False)
-        self.has_article = False
+        state = (False, False, False, False)
+        self.has_article = in_link = False
+        plain = False  # whether the block has text outside of links
 
         def flush() -> None:
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    blocks.append((text, *state, len(out)))
+                    blocks.append((text, *state, not plain))
                     out.append("T")
                 parts.clear()
 
-        for kind, name, named in tokens(page):
+        for kind, name, attributes in tokens(page):
             if kind == "T":
                 parts.append(name)
+                plain = plain or not (in_link or name.isspace())
                 continue
             if name in _INLINE:
                 if name == "br":
                     parts.append(" ")
+                elif name == "a":
+                    in_link = kind == "<"
                 continue
             flush()
+            plain = in_link = False
             if kind == "<":
                 if name in _SIBLINGS:
                     for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
@@ -160,15 +186,16 @@ class Page:
                             break
                         if stack[i][0] in ("ul", "ol", "table", "article", "body", "div", "section"):
                             break
-                up = stack[-1] if stack else ("", False, False, False)
-                words = class_words(name, named)
-                kind_other = up[3] or name in _OTHER or (name == "header" and not up[1])
-                other = up[2] or kind_other or not _OTHER_WORDS.isdisjoint(words)
-                article = up[1] or (not other and (name in ("article", "main") or ("main" in words and name in ("div", "section"))))
+                _, up_article, up_other, up_maybe, up_kind = stack[-1] if stack else ("", False, False, False, False)
+                sure, maybe = named_other(name, attributes, up_article)
+                kind_other = up_kind or name in _OTHER or (name == "header" and not up_article)
+                other = up_other or kind_other or sure
+                main = name in ("article", "main") or (name in ("div", "section") and "main" in _WORD.findall(_values(_NAMED, attributes)))
+                article = up_article or (main and not other)
                 self.has_article |= article
-                out.append(f"<{name}{' ' + named if named else ''}>")
+                out.append(item_of(name, attributes))
                 if name not in _VOID:
-                    stack.append((name, article, other, kind_other))
+                    stack.append((name, article, other, up_maybe or maybe, kind_other))
             else:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
@@ -176,7 +203,7 @@ class Page:
                         break
                 if name not in _SIBLINGS:  # their ends may be left out, so they say nothing
                     out.append(f"</{name}>")
-            state = stack[-1][1:] if stack else (False, False, False)
+            state = stack[-1][1:] if stack else (False, False, False, False)
         flush()
         self.blocks = blocks
         self.skeleton = out
@@ -185,8 +212,12 @@ class Page:
 _REPEAT = re.compile(rf"(.{{1,{MOST_BODY}}}?)\1+", re.S)
 
 
+#: Distinct items of a page that have a character of their own; those beyond share one.
+MOST_ITEMS = 1_000_000
+
+
 class Alphabet:
-    """A character for each distinct item, so that repeats can be found by a regex."""
+    """A character for each distinct item of a page, so that repeats can be found by a regex."""
 
     def __init__(self):
         self.char: dict[str, str] = {}
@@ -194,6 +225,8 @@ class Alphabet:
 
     def of(self, item: str) -> str:
         c = self.char.get(item)
+        if c is None and len(self.item) >= MOST_ITEMS and item != "<>":
+            return self.of("<>")
         if c is None:
             n = len(self.item) + 0x100
             c = self.char[item] = chr(n if n < 0xD800 else n + 0x800)
@@ -205,8 +238,9 @@ class Alphabet:
         return self.item[(n if n < 0xD800 else n - 0x800) - 0x100]
 
 
-def collapse(items: list[str], alphabet: Alphabet) -> tuple[list, list[int]]:
+def collapse(items: list[str]) -> tuple[list, list[int]]:
     """(items with repeats collapsed into ["+", body], for each text its place among the collapsed texts)."""
+    alphabet = Alphabet()
     coded = "".join(map(alphabet.of, items))
     texts = [i for i, x in enumerate(items) if x == "T"]
     # every original item points to the slots of the nested form; rebuilt by walking the same repeats
@@ -399,17 +433,17 @@ def _text_mark(text: str) -> int:
 
 def _content_mark(page: Page) -> int:
     """A digest of what the markup's names leave of a page; copies with other menus or adverts have equal ones."""
-    own = named_blocks(page) or range(len(page.blocks))
+    own = named_blocks(page, range(len(page.blocks))) or range(len(page.blocks))
     return xxhash.xxh32_intdigest("\n".join(page.blocks[i][0] for i in own).encode())
 
 
-def _page_form(page: Page, alphabet: Alphabet, memory: dict) -> tuple[str, list, list[int]]:
+def _page_form(page: Page, memory: dict) -> tuple[str, list, list[int]]:
     raw = "\n".join(page.skeleton)
     found = memory.get(raw)
     if found is None:
         if len(memory) > 20_000:
             memory.clear()
-        form, places = collapse(page.skeleton, alphabet)
+        form, places = collapse(page.skeleton)
         found = memory[raw] = (json.dumps(form, separators=(",", ":")), form, places)
     return found
 
@@ -434,7 +468,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         held: dict[tuple[str, str], list] = {}
-        alphabet, memory = Alphabet(), {}
+        memory: dict = {}
 
         def rows():
             keys = list(held)
@@ -452,8 +486,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parsed = Page(page or "", {})
-                name, _, places = _page_form(parsed, alphabet, memory)
+                parsed = Page(page or "")
+                name, _, places = _page_form(parsed, memory)
                 texts, content = _constants(parsed, places), [_content_mark(parsed)]
                 key = (host_of(url), name)
                 if key in held:
@@ -469,17 +503,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
         yield rows()
 
     parts = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(fold_pages, "host string, skeleton string, mark long, n_pages long, texts array<long>, contents array<long>")
-    parts = parts.withColumn("fold", F.pmod("mark", F.lit(FOLDS)))
+    parts = parts.withColumn("fold", F.pmod("mark", F.lit(FOLDS[0])))
 
     def fold_skeletons(batches):
         yield from _fold_sorted(batches, lambda r: (r[0], r[6]), lambda r: number_texts(json.loads(r[1]), [(t,) if t is None else (t, r[5]) for t in r[4]]), lambda r: r[3])
 
-    def fold_hosts(batches):
-        yield from _fold_sorted(batches, lambda r: (r[0], 0), lambda r: json.loads(r[3]), lambda r: r[2])
+    def fold_wrappers(batches):
+        yield from _fold_sorted(batches, lambda r: (r[0], r[4]), lambda r: json.loads(r[3]), lambda r: r[2])
 
     out = "host string, fold long, n_pages long, wrapper string"
     folded = parts.repartition("host", "fold").sortWithinPartitions("host", "fold", "mark").mapInArrow(fold_skeletons, out)
-    return folded.repartition("host").sortWithinPartitions("host", "fold").mapInArrow(fold_hosts, out).drop("fold")
+    for folds in (*FOLDS[1:], 1):
+        folded = folded.withColumn("next", F.pmod("fold", F.lit(folds)))
+        folded = folded.repartition("host", "next").sortWithinPartitions("host", "next", "fold").mapInArrow(fold_wrappers, out)
+    return folded.drop("fold")
 
 
 def _fold_sorted(batches, key, wrapper, pages):
@@ -526,39 +563,56 @@ def template_marks(wrapper: list, n_pages: int, form: list, n_texts: int) -> lis
     return marks
 
 
-def named_blocks(page: Page) -> list[int]:
-    """The numbers of the blocks that the markup's names leave, from the first of these that has any: the article, the body
-    without elements named as something else, and, where no article is marked, the body without elements of another kind."""
-    own = [i for i, b in enumerate(page.blocks) if b[1] and not b[2]]
-    own = own or [i for i, b in enumerate(page.blocks) if not b[2]]
-    return own if own or page.has_article else [i for i, b in enumerate(page.blocks) if not b[3]]
+def named_blocks(page: Page, live) -> list[int]:
+    """The numbers, out of ``live``, of the blocks that the markup's names leave."""
+    rest = [i for i in live if not (page.blocks[i][2] or (page.blocks[i][3] and page.blocks[i][5]))]
+    inside = [i for i in rest if page.blocks[i][1]]
+    length = lambda own: sum(len(page.blocks[i][0]) for i in own)
+    own = inside if inside and length(rest) <= (1 + OUTWEIGHS) * length(inside) else rest
+    return own if own or page.has_article else [i for i in live if not page.blocks[i][4]]
 
 
 def main_text(page: Page, places: list[int], marks: list[int | None]) -> str:
     """``places``: of each block its text in the form; ``marks``: of each text of the form, as from ``template_marks``."""
-    own = [(page.blocks[i][0], marks[places[i]]) for i in named_blocks(page)]
-    return "\n\n".join(t for t, mark in own if mark is None or _text_mark(t) != mark)
+    live = [i for i, block in enumerate(page.blocks) if marks[places[i]] is None or _text_mark(block[0]) != marks[places[i]]]
+    return "\n\n".join(page.blocks[i][0] for i in named_blocks(page, live))
+
+
+def _with_wrappers(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``keyed`` (with host) with n_pages and wrapper."""
+    found = found.select(F.col("host").alias("own_host"), "n_pages", "wrapper")
+    step = F.floor(F.log2("n_pages")).cast("int")
+    sizes = found.groupBy(step.alias("step")).agg(F.sum(F.octet_length("wrapper") + F.octet_length("own_host") + 64).alias("bytes")).collect()
+    least, held = 64, 0
+    for r in sorted(sizes, reverse=True):  # a row for each power of two
+        held += r["bytes"]
+        if held > BROADCAST_BYTES:
+            break
+        least = r["step"]
+    hot = F.broadcast(found.filter(step >= least))
+    on = F.col("host") == F.col("own_host")
+    if held <= BROADCAST_BYTES:
+        return keyed.join(hot, on, "left")
+    return keyed.join(hot, on).unionByName(keyed.join(hot, on, "left_anti").join(found.filter(step < least), on, "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every page."""
-    found = materialise(wrappers(pages), "wrappers").select(F.col("host").alias("own_host"), "n_pages", "wrapper")
-    n_hosts = found.count()
-    found = F.broadcast(found) if n_hosts <= BROADCAST_HOSTS else found
+    found = materialise(wrappers(pages), "wrappers")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _HOST, 1))
-    keyed = pages.select("page_id", "url", "html", host.alias("host")).join(found, F.col("host") == F.col("own_host"), "left")
+    keyed = _with_wrappers(pages.select("page_id", "url", "html", host.alias("host")), found)
 
     def run(batches):
         import pyarrow as pa
 
         wrapped: dict[str, list] = {}
         known: dict[tuple[str, str], list[int | None]] = {}
-        alphabet, memory = Alphabet(), {}
+        memory: dict = {}
         for batch in batches:
             texts = []
             for page, name, n, wrapper in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                parsed = Page(page or "", {})
-                skeleton, form, places = _page_form(parsed, alphabet, memory)
+                parsed = Page(page or "")
+                skeleton, form, places = _page_form(parsed, memory)
                 key = (name, skeleton)
                 if key not in known:
                     if len(known) > 20_000:

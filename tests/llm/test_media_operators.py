@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import connect, differences
 from decisium.llm import chat, flac, graph, html_wrappers, near_dup, queries, warc
@@ -113,15 +115,71 @@ def test_wrappers_decide_inside_articles(spark):
     assert {got[10 + i] for i in range(6)} == {"one story\n\nits text"}
 
 
+def test_parts_of_class_names_within_articles(spark):
+    """A subject's name isn't a menu, and a teaser isn't the article; what is all links, or a comment, goes."""
+    body = "<p>" + "a long tale of the sea " * 9 + "</p>"
+    want = ("a long tale of the sea " * 9).strip()
+    cases = {
+        f"<article><div class=entry-header><h1>T</h1></div>{body}</article>": f"T\n\n{want}", f"<article class='post ad-free'>{body}</article>": want,
+        f"<article><section id=search-theory>{body}</section></article>": want, f"<article><p>Teaser.</p></article><div>{body}</div>": f"Teaser.\n\n{want}",
+        f"<article>{body}<ul class=related-posts><li><a>one</a><li><a>two</a> </ul><div class=post-comments><p>no</p></div><div class=share>no</div></article>": want,
+        f"<article>{body}<p class=search-notes>see <a>here</a></p></article><p>short</p>": f"{want}\n\nsee here",
+    }
+    rows = [(i, f"http://h{i}/", page(x)) for i, x in enumerate(cases)]
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_pages_without_their_article_marks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    want = {r["page_id"]: r["text"] for r in html_wrappers.extract(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    assert {r["page_id"]: r["text"] for r in html_wrappers.extract(bare).collect()} == want
+
+
+def test_wrappers_match_their_pages(spark):
+    """Every page of a host is in the language of the host's wrapper, page ids in class names and ids notwithstanding."""
+    rng = random.Random(5)
+
+    def made(depth=0):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.randrange(5)
+            tag = rng.choice(("div", "section", "p", "ul"))
+            if kind == 0 and depth < 3:
+                parts.append(f"<{tag} class='c post-{rng.randrange(10**6)}' id=x{rng.randrange(10**6)}>{made(depth + 1)}</{tag}>")
+            elif kind == 1:
+                parts.append("".join(f"<li><a>{rng.random()}</a></li>" for _ in range(rng.randrange(1, 5))))
+            else:
+                parts.append(f"<{tag}>{rng.choice(('alike', str(rng.random())))}</{tag}>")
+        return "".join(parts)
+
+    top = [made() for _ in range(3)]
+    pages = [page(rng.choice(top) + made()) for _ in range(40)]
+    df = spark.createDataFrame([(f"http://h/{i}", x) for i, x in enumerate(pages)], "url string, html string").repartition(3)
+    found = html_wrappers.wrappers(df).collect()
+    assert [r["n_pages"] for r in found] == [40]
+    code = html_wrappers.Alphabet()
+
+    def regex(items):
+        return "".join(re.escape(code.of(x)) if isinstance(x, str) else re.escape(code.of("T")) if x[0] == "T" else f"(?:{regex(x[1])}){x[0]}" for x in items)
+
+    whole = re.compile(regex(json.loads(found[0]["wrapper"])), re.S)
+    for x in pages:
+        assert whole.fullmatch("".join(map(code.of, html_wrappers.Page(x).skeleton)))
+    assert html_wrappers.item_of("div", " class='post post-12345' id=\"p7\"") == "<div post>"
+    html_wrappers.collapse([f"<x{i}>" for i in range(html_wrappers.MOST_ITEMS + 500_000)])
+
+
 def test_alignment_keeps_both_sides():
     a = ["<a>", ["T", 1], "</a>", "<b>", ["+", ["<p>", ["T", None]]], "</b>"]
     b = ["<a>", ["T", 2], "</a>", "<hr>", "<b>", "<p>", ["T", 5], "</b>"]
     assert html_wrappers.align(a, b) == ["<a>", ["T", None], "</a>", ["?", ["<hr>"]], "<b>", ["+", ["<p>", ["T", None]]], "</b>"]
 
 
-def test_chat_sql(spark, sf_dir):
-    con = connect(sf_dir)
-    assert differences(queries.op7_preference_chat(spark, sf_dir), con, queries.oracle_sql()["op7_preference_chat"]) == []
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    assert differences(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name]) == []
 
 
 def test_chat_pairs(spark):
