@@ -34,6 +34,8 @@ SEPARATOR = 49407
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 27
 ID_BYTES = 2
+#: Summaries of at most this many blocks are sent to every task; beyond, blocks are joined to theirs.
+BROADCAST_ROWS = 1_000_000
 
 
 def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer_path: str | None = None, separator: int = SEPARATOR, file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -119,17 +121,24 @@ def scan_blocks(files: DataFrame, separator: int = SEPARATOR, block_tokens: int
 
 
 def documents(blocks: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file_no, ordinal, start, n_tokens, closed) of every document, stitched over blocks."""
-    before = Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
-    df = blocks.select(
+    """(file_no, ordinal, start, n_tokens, closed) of every document, stitched over blocks.
+
+    The prefix scan runs over one short row a block, without the places of separators.
+    """
+    held = materialise(blocks, "blocks")
+    order = Window.partitionBy("file_no").orderBy("block_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    summary = held.select("file_no", "block_no", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    summary = summary.select(
         "file_no",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("n_before"),
-        F.coalesce(F.max(last).over(before), F.lit(-1)).alias("last_before"),
-        (F.lead("block_no").over(Window.partitionBy("file_no").orderBy("block_no")).isNull()).alias("is_last"),
-        (F.col("block_no") * block_tokens + F.col("n_tokens")).alias("stop"),
+        "block_no",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
+        F.coalesce(F.max("last").over(before), F.lit(-1)).alias("last_before"),
+        F.lead("block_no").over(order).isNull().alias("is_last"),
     )
+    summary = materialise(summary, "summary")
+    summary = F.broadcast(summary) if summary.count() <= BROADCAST_ROWS else summary
+    df = held.withColumn("stop", F.col("block_no") * block_tokens + F.col("n_tokens")).join(summary, ["file_no", "block_no"])
     open_end = F.when(F.col("is_last") & (F.col("stop") - 1 > F.coalesce(F.when(F.size("ends") > 0, F.element_at("ends", -1)), F.col("last_before"))), F.array(F.col("stop")))
     df = df.withColumn("n_closed", F.size("ends")).withColumn("ends", F.concat("ends", F.coalesce(open_end, F.array().cast("array<bigint>"))))
     df = df.select("*", F.posexplode("ends").alias("i", "stop_at"))
