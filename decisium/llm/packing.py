@@ -10,6 +10,12 @@ the sum of squared fills, until bins run empty. A group of ``GROUP_PIECES``
 pieces leaves one badly filled bin at most, so the groups cost less than one
 sequence in a thousand.
 
+The search is a heuristic with limits, all parameters of ``improve``: a bin offers its
+``MOST_ITEMS`` largest pieces for exchanges of two pieces, asks the ``MOST_BINS`` bins
+with the most room for two of theirs, and the search ends after ``PATIENCE`` bins in a
+row that it can't empty, or at the lower bound. They bound the work, not the pieces
+packed: every piece has a place after best fit already.
+
 Edge cases: a null or empty text is the closing id alone (one piece of length 1).
 A text of exactly ``capacity`` tokens is one piece. Repeated rows are packed as
 often as they occur; null ids are carried. An empty table gives an empty result.
@@ -32,6 +38,8 @@ CAPACITY = 2048
 GROUP_PIECES = 16_384
 #: Bins in a row that the local search may fail to empty before it ends.
 PATIENCE = 24
+MOST_ITEMS = 32
+MOST_BINS = 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -88,7 +96,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(sizes: list[int], bins: list[list[int]], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def improve(
+    sizes: list[int], bins: list[list[int]], capacity: int, patience: int = PATIENCE, most_items: int = MOST_ITEMS, most_bins: int = MOST_BINS
+) -> list[list[int]]:
     """Empty bins by local search; every accepted exchange raises the sum of squared fills.
 
     The least filled bin gives: a document moves to the tightest bin that takes
@@ -148,7 +158,7 @@ def improve(sizes: list[int], bins: list[list[int]], capacity: int, patience: in
                     break
             if moved:
                 continue
-            own = sorted(bins[giver], key=lambda i: -sizes[i])[:32]
+            own = sorted(bins[giver], key=lambda i: -sizes[i])[:most_items]
             for n, x1 in enumerate(own):  # two of the giver's for one
                 for x2 in own[n + 1 :]:
                     gain = size[x1] + size[x2] - size[near]
@@ -165,8 +175,10 @@ def improve(sizes: list[int], bins: list[list[int]], capacity: int, patience: in
                     break
             if moved:
                 continue
+            widest = np.argsort(-room, kind="stable")[:most_bins]
+            widest = widest[room[widest] > 0]
             for x in own:  # one of the giver's for two of a receiver
-                for b in np.flatnonzero(room > 0)[:64]:
+                for b in widest:
                     pair = _two_below(sizes, bins[b], sizes[x], int(room[b]))
                     if pair:
                         put(x, int(b))
