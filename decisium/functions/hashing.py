@@ -16,6 +16,11 @@ def sha_order(seed, *cols) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def sha_place(seed, n: Column, *cols) -> Column:
+    """A place from 0 to ``n`` - 1 by the first 32 bits of ``sha_order``."""
+    return F.pmod(F.conv(F.substring(sha_order(seed, *cols), 1, 8), 16, 10).cast("long"), n).cast("int")
+
+
 def sha_mod(key: Column, modulus: int = 1000) -> Column:
     """The SHA-256 of ``key``, as a number, modulo ``modulus``: Horner over eight 32-bit words."""
     step = (1 << 32) % modulus

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisium.functions import wiki
-from decisium.functions.hashing import sha_order
+from decisium.functions.hashing import sha_order, sha_place
 from decisium.functions.text import collapsed
 
 
@@ -15,26 +15,31 @@ def seeds(pages: DataFrame) -> DataFrame:
 
     Cheap filters come first: redirects, empty and disambiguation pages never reach the Arrow function.
     """
-    usable = pages.filter(F.col("redirect_target").isNull() & (collapsed("text") != "") & ~F.lower("text").contains("{{disambig"))
-    lead = wiki.lead_sentences("text")
-    df = usable.select("title", "seq", "text", lead.alias("lead"), wiki.categories("text").alias("cats"), wiki.infobox("text").alias("box"))
-    lead3 = F.substring(F.array_join("lead", " "), 1, 520)
+    marked = F.contains("text", F.lit("{{disambiguation")) | F.contains("text", F.lit("{{dab"))
+    usable = pages.filter(F.col("redirect_target").isNull() & (F.col("title") != "") & (F.col("text") != "") & ~marked)
+    lead = wiki.lead_text("text")
+    df = usable.select(
+        "title", "seq", lead.alias("lead"), wiki.clean_markup(lead).alias("clean"),
+        wiki.short_description("text").alias("short"), wiki.categories("text").alias("cats"), wiki.infobox("text").alias("box"),
+    )
+    df = df.withColumn("sentences", wiki.sentences_of("clean")).withColumn("lead3", F.substring("clean", 1, 520))
     df = df.select(
         "title",
         "seq",
-        F.substring(F.coalesce(F.get("lead", F.lit(0)), F.lit("")), 1, 260).alias("lead1"),
-        lead3.alias("lead3"),
-        wiki.definition(F.col("lead"), wiki.short_description("text")).alias("def"),
-        F.slice(F.filter(wiki.link_labels("text"), lambda x: F.contains(lead3, x)), 1, 5).alias("links"),
+        F.substring(F.coalesce(F.get("sentences", F.lit(0)), F.lit("")), 1, 260).alias("lead1"),
+        "lead3",
+        wiki.definition(F.col("sentences"), F.col("short")).alias("def"),
+        F.slice(F.filter(wiki.link_labels("lead"), lambda x: F.contains(F.lower("lead3"), F.lower(x))), 1, 5).alias("links"),
         "cats",
         "box",
+        "short",
     )
-    return df.filter(F.col("def").isNotNull() | (F.size("links") > 0) | (F.size("cats") > 0) | (F.size("box") > 0))
+    return df.filter(F.col("def").isNotNull() | (F.size("links") > 0) | (F.size("cats") > 0) | (F.size("box") > 0) | (F.col("short") != "")).drop("short")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """(title, seq, sentence_no, sentence, kind, answer): at most one fact a sentence."""
-    parts = F.transform(wiki.plain_sentences(wiki.clean_markup(wiki.without_headings("text"))), wiki.clean_sentence)
+    """(title, seq, sentence_no, sentence, kind, answer): at most one fact a sentence; sentences with markup left have none."""
+    parts = F.transform(wiki.plain_sentences("text"), wiki.clean_sentence)
     rows = pages.select("title", "seq", F.posexplode(parts).alias("sentence_no", "sentence"))
     return rows.filter(wiki.usable_sentence("sentence")).withColumn("fact", wiki.facts("sentence")).filter(F.col("fact").isNotNull()).select("title", "seq", "sentence_no", "sentence", "fact.*")
 
@@ -51,8 +56,8 @@ def distractors(values: Column, gold: Column, exclude: Column, n: int, seed: int
     Oversampled places come first, then the pool from a hashed offset on, so small pools are used up exactly.
     """
     size = F.greatest(F.size(values), F.lit(1))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * n)), lambda i: F.get(values, F.pmod(F.xxhash64(F.lit(seed), *ids, i), size).cast("int")))
-    turn = F.pmod(F.xxhash64(F.lit(seed), *ids), size).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(4 * n)), lambda i: F.get(values, sha_place(seed, size, *ids, i)))
+    turn = sha_place(seed, size, *ids)
     rest = F.transform(F.sequence(F.lit(0), F.least(F.size(values), F.lit(8 * n)) - 1), lambda i: F.get(values, F.pmod(turn + i, size)))
     low = F.array_append(F.transform(exclude, F.lower), F.lower(gold))
     return F.slice(F.filter(F.array_distinct(F.concat(drawn, rest)), lambda v: v.isNotNull() & ~F.array_contains(low, F.lower(v))), 1, n)
@@ -95,7 +100,7 @@ def mined_rows(seed_rows: DataFrame, seed: int = 7, n_options: int = 8, caps: di
         asked(with_pool(has_def, has_def, "def"), "define", F.concat(F.lit(QUESTIONS["define"] + " "), F.col("title")), F.lit(""), F.col("def"), none),
         asked(with_pool(has_def, seed_rows, "title"), "knowledge", F.lit(QUESTIONS["knowledge"]), F.col("def"), F.col("title"), none),
     ]
-    cats = seed_rows.filter(F.size("cats") > 0).withColumn("own", F.get("cats", F.pmod(F.xxhash64(F.lit(seed), "title"), F.size("cats")).cast("int")))
+    cats = seed_rows.filter(F.size("cats") > 0).withColumn("own", F.get("cats", sha_place(seed, F.size("cats"), "title")))
     every_cat = seed_rows.select(F.explode("cats").alias("cat"))
     out.append(asked(with_pool(cats, every_cat, "cat"), "wikicat", F.lit(QUESTIONS["wikicat"]), F.col("lead3"), F.col("own"), F.col("cats")))
     links = seed_rows.filter(F.size("links") > 0).withColumn("own", F.get("links", F.lit(0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisium.functions.arrays import default_probs, gold_probability, renormalised, total
-from decisium.functions.text import collapsed, stripped
+from decisium.functions.text import collapsed, stripped, text_of
 
 LEAST_OPTIONS, MOST_OPTIONS = 2, 8
 
@@ -45,10 +45,15 @@ def na_padding(c) -> Column:
     return (t == "") | ((t != "Na") & F.lower(t).isin(*NA_SPELLINGS))
 
 
+# fixed values: what makes a row read like a fact
+FACT_YEAR = r"(?U)\b(?:1[5-9]\d{2}|20[0-2]\d)\b"
+FACT_NAMES = r"(?U)[A-Z][A-Za-z']+(?:[\s-]+[A-Z][A-Za-z']+){1,}"
+
+
 def fact_flag(context, question) -> Column:
-    """Both a year from 1500 to 2029 and two capitalised words in a row."""
-    t = F.concat_ws(" ", context if isinstance(context, Column) else F.col(context), question if isinstance(question, Column) else F.col(question))
-    return t.rlike(r"\b(?:1[5-9]\d{2}|20[0-2]\d)\b") & t.rlike(r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b")
+    """Both a year from 1500 to 2029 and two capitalised words in a row; nulls are empty."""
+    t = F.concat_ws(" ", text_of(context), text_of(question))
+    return t.rlike(FACT_YEAR) & t.rlike(FACT_NAMES)
 
 
 def known_family(c) -> Column:

@@ -117,7 +117,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         n, F.lit(" is a country located in "), r, F.lit(" and it was founded in "), number(1500 + F.col("n_nationkey") * 17), F.lit(". "),
         F.lit("It borders [[Sea of "), r, F.lit("|the "), r, F.lit(" sea]].<ref>x</ref> It was ruled by a council of elders."), nl,
         F.lit("== History =="), nl, F.lit("Its records were established by Ada "), n,
-        F.lit(" in the old port. [[Category:Countries in "), r, F.lit("]] [[Category:All stub articles]]"),
+        F.lit(" in the old port. [[Category:Countries in "), r, F.lit("]] [[Category:All stub articles]] [[Category:Ports of "), n, F.lit("|Port]]"),
     )
     return df.select(n.alias("title"), F.col("n_nationkey").alias("seq"), F.when(F.col("n_nationkey") % 9 == 8, "REGION").alias("redirect_target"), text.alias("text"))
 
@@ -130,5 +130,6 @@ PAGES = """wiki AS (
       n_name, ' is a country located in ', r_name, ' and it was founded in ', CAST(1500 + n_nationkey * 17 AS VARCHAR), '. ',
       'It borders [[Sea of ', r_name, '|the ', r_name, ' sea]].<ref>x</ref> It was ruled by a council of elders.', chr(10),
       '== History ==', chr(10), 'Its records were established by Ada ', n_name,
-      ' in the old port. [[Category:Countries in ', r_name, ']] [[Category:All stub articles]]') AS text
+      ' in the old port. [[Category:Countries in ', r_name, ']] [[Category:All stub articles]] [[Category:Ports of ', n_name, '|Port]]') AS text,
+    r_name AS region, CAST(1500 + n_nationkey * 17 AS VARCHAR) AS founded
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""

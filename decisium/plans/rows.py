@@ -144,7 +144,7 @@ def validate_json_rows(spark, sf_dir):
     return validate.validate_json(rows.select("id", value.alias("value"))).select("id", F.coalesce("errors", F.lit("")).alias("errors"))
 
 
-@query("fact_flag", r"""SELECT doc_id, regexp_matches(coalesce(text, '') || ' q', '\b(?:1[5-9][0-9]{2}|20[0-2][0-9])\b') AND regexp_matches(coalesce(text, '') || ' q', '\b[A-Z][a-z]+\s+[A-Z][a-z]+\b') AS flagged FROM documents""")
+@query("fact_flag", r"""SELECT doc_id, regexp_matches(coalesce(text, '') || ' q', '\b(?:1[5-9][0-9]{2}|20[0-2][0-9])\b') AND regexp_matches(coalesce(text, '') || ' q', '[A-Z][A-Za-z'']+(?:[\s-]+[A-Z][A-Za-z'']+)+') AS flagged FROM documents""")
 def fact_flag(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", validate.fact_flag(F.coalesce("text", F.lit("")), F.lit("q")).alias("flagged"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -14,43 +15,57 @@ from decisium.sources import generators, records
 from decisium.streaming import incremental
 
 
-@query("wiki_clean", f"WITH {PAGES} SELECT title, title || ' is a country located in ' || split_part(split_part(text, 'Country in ', 2), '}}}}', 1) AS begins FROM wiki")
+#: The fixture's lead and whole texts without markup.
+LEAD = "title || ' is a country located in ' || region || ' and it was founded in ' || founded || '. It borders the ' || region || ' sea. It was ruled by a council of elders.'"
+CLEAN = f"{LEAD} || ' == History == Its records were established by Ada ' || title || ' in the old port. Category:Countries in ' || region || ' Category:All stub articles Port'"
+CATS = "'Countries in ' || region || '|Ports of ' || title"
+
+
+@query("wiki_clean", f"WITH {PAGES} SELECT title, {CLEAN} AS clean FROM wiki")
 def wiki_clean(spark, sf_dir):
-    """The clean text's first words; the markup before them is gone."""
-    clean = wiki.clean_markup("text")
-    return pages(spark, sf_dir).select("title", F.regexp_extract(clean, r"\A(.*?) and it was founded", 1).alias("begins"))
+    return pages(spark, sf_dir).select("title", wiki.clean_markup("text").alias("clean"))
 
 
-@query("wiki_links", f"WITH {PAGES} SELECT title, 'Port ' || title AS first, 'the ' || split_part(split_part(text, 'Country in ', 2), '}}}}', 1) || ' sea' AS second FROM wiki")
+@query("wiki_links", f"WITH {PAGES} SELECT title, 'Port ' || replace(title, '_', ' ') || '|the ' || region || ' sea' AS labels FROM wiki")
 def wiki_links(spark, sf_dir):
-    """Labels that differ from their targets (the first link's doesn't, so it is left out) and the raw first one."""
-    df = pages(spark, sf_dir)
-    return df.select("title", F.regexp_extract("text", r"\[\[([^|\]]+)\|", 1).alias("first"), F.get(wiki.link_labels("text"), F.lit(0)).alias("second"))
+    """Labels that differ from their targets; underscores are spaces, and categories aren't topics."""
+    return pages(spark, sf_dir).select("title", F.array_join(wiki.link_labels("text"), "|").alias("labels"))
 
 
-@query("wiki_categories", f"WITH {PAGES} SELECT title, 'Countries in ' || split_part(split_part(text, 'Country in ', 2), '}}}}', 1) AS categories FROM wiki")
+@query("wiki_categories", f"WITH {PAGES} SELECT title, {CATS} AS categories FROM wiki")
 def wiki_categories(spark, sf_dir):
     return pages(spark, sf_dir).select("title", F.array_join(wiki.categories("text"), "|").alias("categories"))
 
 
-@query("wiki_infobox", f"WITH {PAGES} SELECT title, CAST(1000 + seq * 37 AS VARCHAR) AS area, title || ' crown' AS currency FROM wiki")
+BOXES = "(VALUES ('area_km2'), ('capital'), ('currency')) f(field)"
+BOX_VALUE = "CASE field WHEN 'capital' THEN 'LINK' WHEN 'currency' THEN title || ' crown' ELSE CAST(1000 + seq * 37 AS VARCHAR) END"
+
+
+@query("wiki_infobox", f"WITH {PAGES} SELECT title, field, {BOX_VALUE} AS vals FROM wiki, {BOXES}")
 def wiki_infobox(spark, sf_dir):
-    box = pages(spark, sf_dir).select("title", wiki.infobox("text").alias("box"))
-    return box.select("title", F.get(F.col("box")["area_km2"], F.lit(0)).alias("area"), F.get(F.col("box")["currency"], F.lit(0)).alias("currency"))
+    box = pages(spark, sf_dir).select("title", F.explode(wiki.infobox("text")).alias("field", "vals"))
+    return box.select("title", "field", F.array_join("vals", "|").alias("vals"))
 
 
-@query("wiki_short_description", f"WITH {PAGES} SELECT title, 'Country in ' || split_part(split_part(text, 'Country in ', 2), '}}}}', 1) AS short FROM wiki")
+@query("wiki_short_description", f"WITH {PAGES} SELECT title, 'Country in ' || region AS short FROM wiki")
 def wiki_short_description(spark, sf_dir):
     return pages(spark, sf_dir).select("title", wiki.short_description("text").alias("short"))
 
 
-@query("wiki_balanced", f"WITH {PAGES} SELECT title, 0 AS left_over FROM wiki")
+@query("wiki_balanced", f"WITH {PAGES} SELECT title, ' ' || chr(10) || ' ' || substr(text, strpos(text, chr(10) || '}}}}' || chr(10)) + 3) AS rest FROM wiki")
 def wiki_balanced(spark, sf_dir):
-    rest = wiki.without_templates("text")
-    return pages(spark, sf_dir).select("title", (F.length(rest) - F.length(F.replace(rest, F.lit("{{"), F.lit("")))).alias("left_over"))
+    return pages(spark, sf_dir).select("title", wiki.without_templates("text").alias("rest"))
 
 
-@query("lead_def")
+SEEDS = f"""seeds AS (SELECT title, seq, {LEAD} AS lead3, title || ' is a country located in ' || region || ' and it was founded in ' || founded || '.' AS lead1,
+  'the ' || region || ' sea' AS links, {CATS} AS cats, region FROM wiki WHERE redirect_target IS NULL)"""
+
+
+@query(
+    "lead_def",
+    f"""WITH {PAGES}, {SEEDS} SELECT title, lead1, lead3, lead1 AS def, links, cats,
+  '{{"capital":["LINK"],"currency":["' || title || ' crown"],"area_km2":["' || CAST(1000 + seq * 37 AS VARCHAR) || '"]}}' AS box FROM seeds""",
+)
 def lead_def(spark, sf_dir):
     seeds = mining.seeds(pages(spark, sf_dir))
     return seeds.select("title", "lead1", "lead3", "def", F.array_join("links", "|").alias("links"), F.array_join("cats", "|").alias("cats"), F.to_json("box").alias("box"))
@@ -62,19 +77,92 @@ def chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(wiki.chunks("text")).alias("chunk_no", "chunk"))
 
 
-@query("facts", f"WITH {PAGES} SELECT title, CAST(0 AS INT) AS sentence_no, 'year' AS kind, CAST(1500 + seq * 17 AS VARCHAR) AS answer FROM wiki WHERE seq * 17 BETWEEN 0 AND 599")
+@query("facts", f"WITH {PAGES} SELECT title, CAST(2 AS INT) AS sentence_no, 'number' AS kind, regexp_extract(title, '[0-9]+') AS answer FROM wiki")
 def facts(spark, sf_dir):
-    found = mining.page_facts(pages(spark, sf_dir))
-    return found.filter("kind = 'year'").select("title", "sentence_no", "kind", "answer")
+    """The facts of whole pages: the numbers of their names, as their other sentences hold markup."""
+    return mining.page_facts(pages(spark, sf_dir)).select("title", "sentence_no", "kind", "answer")
 
 
-@query("facts_kinds")
+#: A sentence of each kind, of weak starts and of forms that have no fact, about a nation (n) of a region (r).
+SENTENCES = [
+    ("The old bridge of {n} was opened to all traffic in {y} by the mayor", "year", "{y}"),
+    ("The (old) town hall of {n} has stood here since the {y} fire of the town", "year", "{y}"),
+    ("The harbour of old {n} is situated in Port {n}, close to a wide river", "place", "Port {n}"),
+    ("The lake of {n} holds {k} million boats in summer and none at all in winter", "number", "{k} million"),
+    ("The lake of {n} holds {k}, and no more than that, of all boats in summer", "number", "{k},"),
+    ("The abbey of {n} was founded by Hildegard {n}, a nun of great learning there", "who", "Hildegard {n}"),
+    ("The abbey (of {n}, not {k}) was chaired by Ada {n}, for the whole of a century", "who", "Ada {n}"),
+    ("The abbey of {n} was chaired by Ada O'Neil-Smith for the whole of a century", "who", "Ada O'Neil-Smith for"),
+    ("The zither of {n} is a kind of string instrument", "cat", "string instrument"),
+    ("When the bridge of {n} was opened to all traffic in {y}, none came", None, None),
+    ("the bridge of {n} was opened to all traffic in {y} by the mayor of it", None, None),
+    ("The bridge of {n} was opened in {y} and again in 1999 by an old mayor of {r}", None, None),
+    ("Nothing at all to see here, in {n} or in {r}, on any day of the week", None, None),
+]
+
+
+def _of_nation(text: str | None, quoted: str, joined: str) -> str:
+    """``text`` as an SQL expression."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    parts = re.split(r"\{(\w)\}", text)
+    values = {"n": "translate(n_name, '_0123456789', ' ABCDEFGHIJ')", "r": "r_name", "y": "CAST(1500 + n_nationkey * 17 AS STRING)", "k": "CAST(3 + n_nationkey AS STRING)"}
+    return joined.join(values[p] if i % 2 else quoted + p.replace(quoted, 2 * quoted) + quoted for i, p in enumerate(parts) if p)
+
+
+FACT_ROWS = " UNION ALL ".join(
+    f"SELECT {i} AS case_no, n_nationkey AS seq, '{kind}' AS kind, {_of_nation(answer, chr(39), ' || ')} AS answer FROM nation JOIN region ON n_regionkey = r_regionkey"
+    for i, (_, kind, answer) in enumerate(SENTENCES)
+    if kind
+)
+
+
+@query("facts_kinds", FACT_ROWS)
 def facts_kinds(spark, sf_dir):
-    return mining.page_facts(pages(spark, sf_dir)).select("title", "sentence_no", "kind", "answer")
+    """The facts of sentences of every kind, one case for each nation."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    df = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    cases = F.array(*[F.struct(F.lit(i).alias("case_no"), F.expr(_of_nation(text, '"', " || ")).alias("sentence")) for i, (text, _, _) in enumerate(SENTENCES)])
+    rows = df.select(F.col("n_nationkey").alias("seq"), F.inline(cases)).filter(wiki.usable_sentence("sentence") | (F.length("sentence") < 50))
+    return rows.withColumn("fact", wiki.facts("sentence")).filter("fact IS NOT NULL").select("case_no", "seq", "fact.*")
+
+
+def _place(key: str, n: str) -> str:
+    return f"CAST('0x' || substr(sha256({key}), 1, 8) AS BIGINT) % {n}"
+
+
+_DISTINCT = "SELECT 0 AS pool_key, list(v ORDER BY sha256('7|' || v), v) AS pool FROM (SELECT DISTINCT {v} AS v FROM seeds{more})"
+_CATS = "['Countries in ' || region, 'Ports of ' || title]"
+#: Of each family the rows asked about and the pools of wrong options.
+MINED = {
+    "define": (f"SELECT title, '{mining.QUESTIONS['define']} ' || title AS question, '' AS context, lead1 AS gold, CAST([] AS VARCHAR[]) AS exclude, 0 AS pool_key FROM seeds", _DISTINCT.format(v="lead1", more="")),
+    "knowledge": (f"SELECT title, '{mining.QUESTIONS['knowledge']}' AS question, lead1 AS context, title AS gold, CAST([] AS VARCHAR[]) AS exclude, 0 AS pool_key FROM seeds", _DISTINCT.format(v="title", more="")),
+    "wikicat": (
+        f"SELECT title, '{mining.QUESTIONS['wikicat']}' AS question, lead3 AS context, {_CATS}[{_place("'7|' || title", '2')} + 1] AS gold, {_CATS} AS exclude, 0 AS pool_key FROM seeds",
+        _DISTINCT.format(v="c.cat", more=f", unnest({_CATS}) c(cat)"),
+    ),
+    "wikiret": (f"SELECT title, '{mining.QUESTIONS['wikiret']}' AS question, lead3 AS context, links AS gold, [links] AS exclude, 0 AS pool_key FROM seeds", _DISTINCT.format(v="title", more="")),
+    "wikibox": (
+        "SELECT title, 'What is the ' || replace(field, '_', ' ') || ' of ' || title || '?' AS question, lead1 AS context, val AS gold, [val] AS exclude, field AS pool_key FROM boxes QUALIFY row_number() OVER (PARTITION BY title ORDER BY sha256('7|' || title || '|' || field)) <= 2",
+        "SELECT field AS pool_key, list(DISTINCT val ORDER BY val) AS pool FROM boxes GROUP BY field HAVING count(DISTINCT val) >= 8",
+    ),
+}
+
+
+def _mined_sql(family: str) -> str:
+    asked, pools = MINED[family]
+    key = f"'7|' || title || '|{family}'"
+    return f"""WITH {PAGES}, {SEEDS}, boxes AS (SELECT title, lead1, field, {BOX_VALUE} AS val FROM seeds, {BOXES}), asked AS ({asked}), pools AS ({pools}),
+d AS (SELECT a.*, list_concat(list_transform(range(0, 29), lambda i: pool[{_place(f"{key} || '|' || i", "len(pool)")} + 1]),
+  list_transform(range(0, least(len(pool), 56)), lambda i: pool[({_place(key, "len(pool)")} + i) % len(pool) + 1])) AS drawn FROM asked a JOIN pools p ON a.pool_key = p.pool_key),
+w AS (SELECT *, list_filter(drawn, lambda v, i: list_position(drawn, v) = i AND lower(v) <> lower(gold) AND NOT list_contains(list_transform(exclude, lambda e: lower(e)), lower(v)))[1:7] AS wrong FROM d),
+o AS (SELECT *, list_concat([gold], wrong) AS every, list_sort(list_transform(range(0, 8), lambda i: sha256({key} || '|' || i) || '|' || i)) AS ks FROM w WHERE len(wrong) = 7)
+SELECT '{family}' AS family, title, question, context, array_to_string(list_transform(ks, lambda k: every[CAST(split_part(k, '|', 2) AS INT) + 1]), '|') AS options,
+  CAST(list_position(list_transform(ks, lambda k: split_part(k, '|', 2)), '0') - 1 AS INT) AS correct_index FROM o"""
 
 
 def _mined(family):
-    @query(f"mine_{family}")
+    @query(f"mine_{family}", _mined_sql(family))
     def mine(spark, sf_dir):
         seeds = materialise(mining.seeds(pages(spark, sf_dir)), "seeds")
         rows = mining.mined_rows(seeds).filter(F.col("family") == family)
