@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +24,22 @@ def vocabulary(df: DataFrame, texts: list[Column], size: int = 16_384) -> DataFr
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, ids array<long>): word ids, else number buckets, else unknown.
 
-    Distinct tokens are looked up once each; the vocabulary has a fixed size, so it is sent to every task.
+    The vocabulary (of a fixed size) becomes a hash table in the plan, a constant array
+    of short lists, and each row looks its tokens up where it is: nothing is shuffled.
     """
-    rows = df.select(key, F.posexplode(tokens(model_text(text))).alias("pos", "word"))
-    found = rows.join(F.broadcast(vocab.select(F.col("word").alias("known"), "id")), F.col("word") == F.col("known"), "left")
-    number = F.when(F.col("word").rlike(r"\A\d+\z"), number_bucket(F.col("word"), NUMBERS, FIRST_NUMBER))
-    ids = F.coalesce(F.col("id"), number, F.lit(UNKNOWN).cast("long"))
-    per = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", ids.alias("id")))), lambda s: s["id"]).alias("ids"))
-    return df.select(F.col(key).alias("own_key")).join(per, F.col("own_key") == F.col(key), "left").select(F.col("own_key").alias(key), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    words = vocab.select("word", "id", F.xxhash64("word").alias("h")).collect()
+    slots = 1 << max(4, (2 * len(words)).bit_length())
+    table: list[list[dict]] = [[] for _ in range(slots)]
+    for r in words:
+        table[r["h"] % slots].append({"w": r["word"], "i": r["id"]})
+    table = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<w:string,i:bigint>>>")
+
+    def one(w: Column) -> Column:
+        found = F.filter(F.get(table, F.pmod(F.xxhash64(w), F.lit(slots)).cast("int")), lambda e: e["w"] == w)
+        number = F.when(w.rlike(r"\A\d+\z"), number_bucket(w, NUMBERS, FIRST_NUMBER))
+        return F.coalesce(F.get(found, F.lit(0))["i"], number, F.lit(UNKNOWN).cast("long"))
+
+    return df.select(key, F.coalesce(F.transform(tokens(model_text(text)), one), F.array().cast("array<bigint>")).alias("ids"))
 
 
 def embedding_bag(ids: DataFrame, key: str, table: DataFrame) -> DataFrame:

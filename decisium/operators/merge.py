@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decisium.functions.hashing import sha_order
+from decisium.runtime import materialise
+
+#: Hexadecimal digits of the hash by which rows are counted before any is ranked.
+BIN_DIGITS = 4
 
 
 def without(df: DataFrame, guard: DataFrame, key: str) -> DataFrame:
@@ -29,12 +33,38 @@ def first_per_key(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
 
     Only (key, order) is aggregated, with partial sums before the shuffle, so a key
     of a third of all rows costs no task more than the others; rows stay unsorted.
-    ``order`` must be unique.
+    ``order`` must be unique. The pairs are written first, so keys are computed once.
     """
-    first = df.groupBy(key).agg(F.min(order).alias("first_order"))
+    first = materialise(df.select(key, order), "keys").groupBy(key).agg(F.min(order).alias("first_order"))
     return df.join(first.select("first_order"), F.col(order) == F.col("first_order"), "left_semi")
 
 
+def hash_first(df: DataFrame, group: str, limits: DataFrame, flag: str, seed: int, *ids: str) -> DataFrame:
+    """``df`` with ``flag``: whether a row is among the first ``most`` of its group in hash order of ``ids``, ties by the last of them.
+
+    ``limits``: (group, most) of each group, one row each; a group without a row has none.
+    Rows are counted by the beginnings of their hashes, and only those that share theirs
+    with the group's last wanted row are sorted: no group ever meets in one task.
+    """
+    draw = sha_order(seed, *ids)
+    begins = F.substring(draw, 1, BIN_DIGITS)
+    counts = df.groupBy(F.col(group).alias("bin_group"), begins.alias("bin")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bin_group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = limits.select(F.col(group).alias("limit_group"), F.col("most").cast("long").alias("most"))
+    held = counts.withColumn("before", before).join(wanted, F.col("bin_group").eqNullSafe(F.col("limit_group")))
+    full = F.col("before") + F.col("n") <= F.col("most")
+    # the bin after the last one that is wanted whole, and how many rows of it; "g" follows every hash
+    first = F.min(F.when(~full, F.struct("bin", (F.col("most") - F.col("before")).alias("more"))))
+    border = held.groupBy("bin_group").agg(first.alias("first")).select("bin_group", F.coalesce("first.bin", F.lit("g")).alias("border"), F.coalesce("first.more", F.lit(0)).alias("more"))
+    border = materialise(border, "border")
+    placed = df.withColumn("draw", draw).withColumn("bin", begins).join(border, F.col(group).eqNullSafe(F.col("bin_group")), "left")
+    edge = F.coalesce(F.col("bin") == F.col("border"), F.lit(False))
+    far = placed.filter(~edge).withColumn(flag, F.coalesce(F.col("bin") < F.col("border"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("draw", ids[-1]))
+    near = placed.filter(edge).withColumn(flag, rank <= F.col("more"))
+    return far.unionByName(near).select(*df.columns, flag)
+
+
 def suffixed_ids(df: DataFrame, existing: DataFrame | None = None, key: str = "id", order: str = "seq") -> DataFrame:
     """``df`` with ids made unique: a later row of an id, or one that exists already, gets ``#n``."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
@@ -54,9 +84,8 @@ def eval_size(n: Column, fraction: float) -> Column:
 
 def split_by_fraction(df: DataFrame, fraction: float = 0.1, seed: int = 7, family: str = "family", row_id: str = "id") -> DataFrame:
     """``df`` with is_eval: the rows first in hash order, per family."""
-    by = Window.partitionBy(family)
-    rank = F.row_number().over(by.orderBy(sha_order(seed, family, row_id), row_id))
-    return df.withColumn("is_eval", rank <= eval_size(F.count("*").over(by), fraction))
+    limits = df.groupBy(family).agg(eval_size(F.count("*"), fraction).alias("most"))
+    return hash_first(df, family, limits, "is_eval", seed, family, row_id)
 
 
 def split_by_topic(df: DataFrame, fraction: float = 0.15, seed: int = 7, family: str = "family", topic: str = "topic", row_id: str = "id") -> DataFrame:
@@ -75,8 +104,7 @@ def split_by_topic(df: DataFrame, fraction: float = 0.15, seed: int = 7, family:
     lacking = totals.join(got, F.col("f_total") == F.col("f_got"), "left").select("f_total", F.greatest(F.lit(0), F.col("target") - F.coalesce("assigned", F.lit(0))).alias("deficit"))
     flags = chosen.select(F.col(family).alias("f_topic"), F.col(topic).alias("t_topic"), "eval_topic")
     with_topic = keyed.join(flags, (F.col(family) == F.col("f_topic")) & (F.col(topic) == F.col("t_topic"))).withColumn("is_eval", F.col("eval_topic")).drop("f_topic", "t_topic", "eval_topic")
-    rank = F.row_number().over(Window.partitionBy(family).orderBy(sha_order(seed, family, row_id), row_id))
-    bare = df.filter(F.col(topic).isNull()).join(lacking, F.col(family) == F.col("f_total")).withColumn("is_eval", rank <= F.col("deficit")).drop("f_total", "deficit")
+    bare = hash_first(df.filter(F.col(topic).isNull()), family, lacking.select(F.col("f_total").alias(family), F.col("deficit").alias("most")), "is_eval", seed, family, row_id)
     return with_topic.unionByName(bare)
 
 
@@ -91,9 +119,7 @@ def rebalance(df: DataFrame, fraction: float = 0.09, seed: int = 7, family: str
     """``df`` with the split moved: families short of eval rows give train rows in hash order."""
     counts = df.groupBy(family).agg(F.count("*").alias("n_all"), F.count_if(F.col(split) == "eval").alias("n_eval"), F.count_if(F.col(split) == "train").alias("n_train"))
     need = F.bround(F.col("n_all") * F.lit(fraction).cast("double"), 0).cast("long") + 1
-    short = counts.filter("n_train > 0").select(F.col(family).alias("f_short"), F.greatest(F.lit(0), need - F.col("n_eval")).alias("deficit")).filter("deficit > 0")
-    train = df.filter(F.col(split) == "train")
-    rank = F.row_number().over(Window.partitionBy(family).orderBy(sha_order(seed, family, row_id), row_id))
-    moved = train.withColumn("move_rank", rank).join(short, F.col(family) == F.col("f_short"), "left")
-    moved = moved.withColumn(split, F.when(F.coalesce(F.col("move_rank") <= F.col("deficit"), F.lit(False)), "eval").otherwise(F.col(split))).drop("move_rank", "f_short", "deficit")
+    short = counts.filter("n_train > 0").select(family, F.greatest(F.lit(0), need - F.col("n_eval")).alias("most")).filter("most > 0")
+    moved = hash_first(df.filter(F.col(split) == "train"), family, short, "moves", seed, family, row_id)
+    moved = moved.withColumn(split, F.when(F.col("moves"), "eval").otherwise(F.col(split))).drop("moves")
     return moved.unionByName(df.filter(F.coalesce(F.col(split) != "train", F.lit(True))))

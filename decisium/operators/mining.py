@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from decisium.functions import wiki
 from decisium.functions.hashing import sha_order, sha_place
-from decisium.functions.text import collapsed
+from decisium.operators.merge import hash_first
+from decisium.runtime import materialise
 
 
 def seeds(pages: DataFrame) -> DataFrame:
@@ -116,9 +117,11 @@ def mined_rows(seed_rows: DataFrame, seed: int = 7, n_options: int = 8, caps: di
     for more in out[1:]:
         rows = rows.unionByName(more)
     if caps:
-        rank = F.row_number().over(Window.partitionBy("family").orderBy(sha_order(seed, "family", "title", "question"), "title", "question"))
-        limit = F.element_at(F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))]), F.col("family"))
-        rows = rows.withColumn("cap_rank", rank).filter(F.col("cap_rank") <= F.coalesce(limit, F.lit(1 << 30))).drop("cap_rank")
+        rows = materialise(rows, "mined")
+        limits = rows.select("family").distinct()
+        most = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])
+        limits = limits.withColumn("most", F.coalesce(F.element_at(most, F.col("family")), F.lit(1 << 62)))
+        rows = hash_first(rows, "family", limits, "within", seed, "family", "title", "question").filter("within").drop("within")
     return rows
 
 

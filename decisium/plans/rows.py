@@ -9,7 +9,7 @@ from decisium.functions.arrays import default_probs, renormalised
 from decisium.functions.hashing import content_key, content_split, sha_mod
 from decisium.operators import audit, keys, merge, validate
 from decisium.plans.base import KEYED, PREDICTED, ROWS, decision_rows, joined, keyed_rows, n1, n2, predicted_rows, query
-from decisium.runtime import table
+from decisium.runtime import materialise, table
 
 GATE = f"""WITH {KEYED},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM keyed
@@ -25,8 +25,9 @@ FROM ranked GROUP BY family"""
 def m0_gate_family(spark, sf_dir):
     """Validated rows, deduplicated in arrival order, and each family's gate figures."""
     valid = keyed_rows(spark, sf_dir).filter(F.size(validate.errors()) == 0).select("family", "split", "seq", "key", F.size("options").alias("n"))
-    first = valid.groupBy("key").agg(F.min("seq").alias("first_seq")).withColumnRenamed("key", "first_key")
-    df = valid.join(first, F.col("key") == F.col("first_key")).withColumn("is_first", F.col("seq") == F.col("first_seq"))
+    valid = materialise(valid, "valid")  # texts are read and normalised once
+    first = valid.groupBy("key").agg(F.min("seq").alias("first_seq"))
+    df = valid.join(first.select("first_seq"), F.col("seq") == F.col("first_seq"), "left").withColumn("is_first", F.col("first_seq").isNotNull())
     rows, evals = F.count_if("is_first"), F.count_if(F.col("is_first") & (F.col("split") == "eval"))
     return df.groupBy("family").agg(
         rows.alias("n_rows"),

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from decisium.functions.hashing import sha_order
 from decisium.operators import audit, keys, merge, metrics, replies, validate
 from decisium.plans.base import PREDICTED, ROWS, decision_rows, joined, n1, n2, predicted_rows, query
 from decisium.runtime import materialise, table
@@ -186,9 +185,9 @@ def supported_rows(spark, sf_dir):
 @query("family_caps", f"WITH {ROWS} SELECT family, least(count(*), 7) AS n FROM rows0 GROUP BY family")
 def family_caps(spark, sf_dir):
     """A quota operator: at most seven rows of a family, in hash order."""
-    rank = F.row_number().over(Window.partitionBy("family").orderBy(sha_order(7, "family", "id"), "id"))
-    df = decision_rows(spark, sf_dir).select("id", "family").withColumn("rank", rank).filter("rank <= 7")
-    return df.groupBy("family").agg(F.count("*").alias("n"))
+    df = decision_rows(spark, sf_dir).select("id", "family")
+    limits = df.select("family").distinct().withColumn("most", F.lit(7))
+    return merge.hash_first(df, "family", limits, "within", 7, "family", "id").filter("within").groupBy("family").agg(F.count("*").alias("n"))
 
 
 @query("bounded_pool", "SELECT count(DISTINCT source) AS n FROM documents")

@@ -178,9 +178,8 @@ def halves(rows: DataFrame, family: str, salt: str, fraction: float = 0.5) -> Da
 
 def balanced_sample(rows: DataFrame, subject: str, per_subject: int, total: int, seed: int = 7, row_id: str = "id") -> DataFrame:
     """At most ``per_subject`` rows of a subject, then ``total`` in all, by hash order."""
-    from pyspark.sql import Window
-
     from decisium.functions.hashing import sha_order
+    from decisium.operators.merge import hash_first
 
-    rank = F.row_number().over(Window.partitionBy(subject).orderBy(sha_order(seed, row_id), row_id))
-    return rows.withColumn("quota_rank", rank).filter(F.col("quota_rank") <= per_subject).orderBy(sha_order(seed, row_id), row_id).limit(total).drop("quota_rank")
+    limits = rows.select(subject).distinct().withColumn("most", F.lit(per_subject))
+    return hash_first(rows, subject, limits, "drawn", seed, row_id).filter("drawn").drop("drawn").orderBy(sha_order(seed, row_id), row_id).limit(total)
