@@ -15,9 +15,13 @@ a probability of at most ``MISS``.
 3. Each band bucket links its members to its smallest id, a number of edges
    linear in its size. Their connected components are the candidate groups.
 4. A group's texts meet in one task, which verifies all of its pairs on full sets
-   through an inverted index and gives a spanning forest, never pairs. A group of
-   over ``GROUP`` members is cut into blocks, and each two blocks meet in a task of
-   their own: exact for groups of any size, with no cap.
+   through an inverted index and gives the links that joined sets, never pairs. A
+   group of over ``GROUP`` members is cut into classes of set size (linked sets lie in
+   the same or neighbouring ones) and these into blocks. First a block is verified
+   alone, with a few leaders of its group; this joins copies of one another, with
+   work in proportion to the group. Then each member outside the group's largest
+   component so found meets every member of other components whose class allows a
+   link: exact for groups of any size, with no cap.
 5. Components of the verified links, over smallest ids.
 
 Texts are read twice and only those of candidate groups are shuffled. The table
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decisium.llm.graph import components
+from decisium.llm.spread import spread_join
 from decisium.llm.tokens import text_bytes
 from decisium.runtime import materialise
 
@@ -47,6 +52,8 @@ COORDINATES = 256
 UNIVERSE = 1 << 20
 MISS = 1e-6
 GROUP = 1024
+#: Leaders of each size class of a large group.
+LEADERS = 8
 BROADCAST_ROWS = 2_000_000
 #: Text that is hashed at a time.
 CHUNK_BYTES = 1 << 20
@@ -181,24 +188,14 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int, coordinates: in
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def joining_links(sets: list[np.ndarray], num: int, den: int, part: np.ndarray | None = None, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join the sets as all links between them would.
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-
-
-def verified_forest(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> list[int]:
-    """For each set the smallest number linked with it, over all pairs (with ``side``, only across sides)."""
+    ``part``: sets of equal numbers are joined already. ``asks``: only pairs with one of these are wanted.
+    """
     n = len(sets)
-    forest = _Forest(n)
+    part = np.arange(n) if part is None else np.unique(part, return_inverse=True)[1]
+    asks = np.ones(n, bool) if asks is None else asks
     size = np.array([len(s) for s in sets], np.int64)
     shingle, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
@@ -207,7 +204,12 @@ def verified_forest(sets: list[np.ndarray], num: int, den: int, side: np.ndarray
     count = np.bincount(code, minlength=len(shingle))
     begin = np.cumsum(count) - count
     own = np.cumsum(size) - size
+    links = []
     for u in range(n - 1):
+        wanted = (part != part[u]) & (asks | asks[u]) & (den * size >= num * size[u]) & (den * size[u] >= num * size)
+        wanted[: u + 1] = False
+        if not wanted.any():
+            continue
         c = code[own[u] : own[u] + size[u]]
         c = c[count[c] > 1]
         if not len(c):
@@ -215,17 +217,18 @@ def verified_forest(sets: list[np.ndarray], num: int, den: int, side: np.ndarray
         m = count[c]
         at = np.repeat(begin[c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
         both = np.bincount(members[at], minlength=n)
-        linked = den * both >= num * (size[u] + size - both)
-        linked[: u + 1] = False
-        if side is not None:
-            linked &= side != side[u]
-        for v in np.flatnonzero(linked).tolist():
-            forest.join(u, v)
-    return [forest.root(i) for i in range(n)]
+        for v in np.flatnonzero(wanted & (den * both >= num * (size[u] + size - both))).tolist():
+            if part[v] != part[u]:
+                links.append((u, v))
+                part[part == part[v]] = part[u]
+    return links
 
 
-def verified_links(members: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b) edges of spanning forests of the verified links; members: (doc_id, group_id, blocks)."""
+_TASK = ["group_id", "phase", "near", "i", "far", "j"]
+
+
+def verified_links(places: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b) verified links that join the members of each task; ``places``: (member_id, *_TASK, part, asks)."""
 
     def run(batches):
         import pyarrow as pa
@@ -233,48 +236,78 @@ def verified_links(members: DataFrame, docs: DataFrame, shingle: int, num: int,
         key, rows = None, []
 
         def done():
-            found: dict[int, bytes] = {}
-            sides: dict[int, int] = {}
-            for doc, block, text in rows:  # rows with equal ids are one document; its first text by bytes stands for it
-                if doc not in found or text < found[doc]:
-                    found[doc], sides[doc] = text, block
+            found: dict[int, tuple] = {}
+            for doc, part, asks, text in rows:  # rows with equal ids are one document; its first text by bytes stands for it
+                old = found.get(doc)
+                found[doc] = (part, asks, text) if old is None else (part, asks or old[1], min(text, old[2]))
             ids = sorted(found)
             if len(ids) < 2:
-                return [], []
-            side = np.array([sides[i] for i in ids]) if key[1] != key[2] else None
-            root = verified_forest(shingle_sets([found[i] for i in ids], shingle), num, den, side)
-            pairs = [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
-            return [p[0] for p in pairs], [p[1] for p in pairs]
-
-        a: list[int] = []
-        b: list[int] = []
+                return []
+            part, asks = np.array([found[i][0] for i in ids]), np.array([found[i][1] for i in ids])
+            return [(ids[v], ids[u]) for u, v in joining_links(shingle_sets([found[i][2] for i in ids], shingle), num, den, part, asks)]
+
+        links: list[tuple[int, int]] = []
         for batch in batches:
-            texts = text_bytes(batch.column(5))
-            for g, i, j, doc, block, text in zip(*(batch.column(c).to_pylist() for c in range(5)), texts, strict=True):
-                if (g, i, j) != key:
-                    if rows:
-                        x, y = done()
-                        a += x
-                        b += y
-                    key, rows = (g, i, j), []
-                rows.append((doc, block, text))
-        if rows:
-            x, y = done()
-            a += x
-            b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    held = members.select(F.col("doc_id").alias("member_id"), "group_id", "blocks")
-    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
-    own = F.pmod(F.xxhash64("member_id"), F.col("blocks")).cast("int")
-    met = (
-        docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
-        .join(held, F.col("own_id") == F.col("member_id"))
-        .withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        .select("group_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "member_id", "block", "text")
+            tasks = list(zip(*(batch.column(c).to_pylist() for c in range(len(_TASK))), strict=True))
+            members = zip(*(batch.column(len(_TASK) + c).to_pylist() for c in range(3)), text_bytes(batch.column(len(_TASK) + 3)), strict=True)
+            for task, member in zip(tasks, members, strict=True):
+                if task != key:
+                    links += done() if rows else []
+                    key, rows = task, []
+                rows.append(member)
+        links += done() if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    places = _sent(materialise(places, "places"))
+    met = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text")).join(places, F.col("own_id") == F.col("member_id"))
+    met = met.select(*_TASK, "member_id", "part", "asks", "text").repartition(*_TASK).sortWithinPartitions(*_TASK)
+    return materialise(met.mapInArrow(run, "a long, b long"), "links")
+
+
+def _task(phase: int, near="0", i="0", far="0", j="0", asks="true", part="member_id") -> list:
+    """The columns of ``places``, given as SQL."""
+    values = dict(zip(_TASK, ["group_id", phase, near, i, far, j], strict=True))
+    return ["member_id", *[F.expr(f"CAST({v} AS BIGINT)").alias(k) for k, v in values.items()], F.expr(part).alias("part"), F.expr(asks).alias("asks")]
+
+
+def _sent_plan(blocks: DataFrame) -> DataFrame:
+    return _sent(materialise(blocks, "blocks"))
+
+
+def _beside(rows: DataFrame, plan: DataFrame, blocks: str) -> DataFrame:
+    """``rows`` (group_id, cls) once for each of the ``blocks`` (``other``, ``block``) of their class and its neighbours."""
+    near = rows.withColumn("other", F.explode(F.array(*[F.col("cls") + d for d in (-1, 0, 1)])))
+    held = plan.filter(F.col(blocks) > 0).select(F.col("group_id").alias("plan_group"), F.col("cls").alias("plan_cls"), F.col(blocks).alias("n_blocks"))
+    near = near.join(held, (F.col("group_id") == F.col("plan_group")) & (F.col("other") == F.col("plan_cls"))).drop("plan_group", "plan_cls")
+    return near.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+
+
+def large_group_links(members: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, group: int) -> DataFrame:
+    """(a, b) links that join the members (member_id, group_id, n_shingles) of groups that one task can't verify."""
+    # linked sets' sizes differ by den / num at most, so their classes by 1; the width leaves room for rounding
+    cls = F.floor(F.ln(F.col("n_shingles").cast("double")) / (np.log(den / num) * (1 + 1e-9) if den > num else 1e-9)).cast("long")
+    members = materialise(members.withColumn("cls", cls).withColumn("mark", F.xxhash64("member_id")), "large")
+    size = F.ceil(F.count("*") / float(group)).cast("long")
+
+    plan = _sent_plan(members.groupBy("group_id", "cls").agg(size.alias("blocks")))
+    own = members.join(plan, ["group_id", "cls"]).withColumn("own_block", F.pmod("mark", "blocks"))
+    leaders = members.groupBy("group_id", "cls", F.pmod("mark", F.lit(LEADERS))).agg(F.min("member_id").alias("member_id"))
+    first = own.select(*_task(1, "cls", "own_block")).unionByName(_beside(leaders, plan, "blocks").select(*_task(1, "other", "block")))
+    links = verified_links(first, docs, shingle, num, den)
+
+    joined = components(links).select(F.col("node").alias("member_id"), "root")
+    parted = materialise(members.join(joined, "member_id", "left").withColumn("part", F.coalesce("root", "member_id")).drop("root"), "parted")
+    largest = parted.groupBy("group_id", "part").agg(F.count("*").alias("n")).groupBy("group_id").agg(F.max(F.struct("n", "part"))["part"].alias("settled"))
+    rest = materialise(parted.join(_sent_plan(largest), "group_id").filter("part <> settled").drop("settled"), "rest")
+    if rest.isEmpty():
+        return links
+    rest_plan = _sent_plan(rest.groupBy("group_id", "cls").agg(size.alias("rest_blocks")))
+    asking = rest.join(rest_plan, ["group_id", "cls"]).withColumn("own_block", F.pmod("mark", "rest_blocks"))
+    asked = parted.join(plan, ["group_id", "cls"]).withColumn("own_block", F.pmod("mark", "blocks"))
+    second = _beside(asking, plan, "blocks").select(*_task(2, "cls", "own_block", "other", "block", "true", "part")).unionByName(
+        _beside(asked, rest_plan, "rest_blocks").select(*_task(2, "other", "block", "cls", "own_block", "false", "part"))
     )
-    return met.repartition("group_id", "low", "high").sortWithinPartitions("group_id", "low", "high").mapInArrow(run, "a long, b long")
+    return links.unionByName(verified_links(second, docs, shingle, num, den))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, group: int = GROUP) -> DataFrame:
@@ -283,30 +316,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     drawn = materialise(sketch(docs, shingle, bands, rows), "sketch")
     some = drawn.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = classes.filter("copies > 1").select(F.col("set_key").alias("copy_key"), "rep")
-    lone = some.join(copies, (F.col("set_key") == F.col("copy_key")), "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
-    keyed = lone.select(F.col("doc_id"), F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select(F.col("key").alias("hub_key"), "hub")
-    edges = materialise(keyed.join(hubs, F.col("key") == F.col("hub_key")).filter("hub < doc_id").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
-    groups = components(edges)
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil((F.col("n") + 1) / float(group)).cast("long"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), "blocks")
-    roots = sizes.select(F.col("root").alias("doc_id"), F.col("root").alias("group_id"), "blocks")
-    links = materialise(verified_links(materialise(members.unionByName(roots), "members"), docs, shingle, num, den), "links")
-    found = components(links)
-    part = some.select("doc_id", "set_key").join(classes.filter("copies > 1").select("set_key", "rep"), "set_key").filter("doc_id <> rep").select("doc_id", "rep").distinct()
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    copied = classes.filter("copies > 1")
+    lone = spread_join(some, copied, "set_key", "copies", total, "left").filter(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")))
+    lone = materialise(lone.select("doc_id", "n_shingles", "bands"), "lone")
+    keyed = lone.select("doc_id", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("hub < last").drop("last")
+    edges = spread_join(keyed, materialise(hubs, "hubs"), "key", "n", total * bands).filter("hub < doc_id")
+    groups = components(materialise(edges.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "candidates"))
+    sizes = materialise(groups.groupBy("root").agg((F.count("*") + 1).alias("n")), "sizes")
+    members = spread_join(groups, sizes.withColumn("n_group", F.col("n")), "root", "n", total).select(F.col("node").alias("member_id"), F.col("root").alias("group_id"), "n_group")
+    members = materialise(members.unionByName(sizes.select(F.col("root").alias("member_id"), F.col("root").alias("group_id"), F.col("n").alias("n_group"))), "members")
+    links = verified_links(members.filter(F.col("n_group") <= group).select(*_task(0)), docs, shingle, num, den)
+    large = members.filter(F.col("n_group") > group).select("member_id", "group_id")
+    if not large.isEmpty():
+        shingles = lone.groupBy(F.col("doc_id").alias("member_id")).agg(F.min("n_shingles").alias("n_shingles"))
+        links = links.unionByName(large_group_links(large.join(shingles, "member_id"), docs, shingle, num, den, group))
+    joined = components(links).select(F.col("node").alias("linked_id"), "root")
     # a copy's component is its representative's; all others' is their own
-    joined = found.select(F.col("node").alias("linked_id"), "root")
-    copied = part.join(joined, F.col("rep") == F.col("linked_id"), "left").select(F.col("doc_id").alias("linked_id"), F.coalesce("root", "rep").alias("root"))
-    label = joined.unionByName(copied).groupBy("linked_id").agg(F.min("root").alias("root"))
-    out = drawn.select("doc_id", "n_shingles").join(label, F.col("doc_id") == F.col("linked_id"), "left")
+    of_class = copied.join(joined, F.col("rep") == F.col("linked_id"), "left").select("set_key", "rep", F.coalesce("root", "rep").alias("root"), "copies")
+    copies = spread_join(some.select("doc_id", "set_key"), materialise(of_class, "copied"), "set_key", "copies", total).filter("doc_id <> rep")
+    label = joined.unionByName(copies.select(F.col("doc_id").alias("linked_id"), "root")).groupBy("linked_id").agg(F.min("root").alias("root"))
+    ids = drawn.select("doc_id", "n_shingles")
+    out = ids.filter(F.col("doc_id").isNotNull()).join(label, F.col("doc_id") == F.col("linked_id"), "left").drop("linked_id")
+    out = out.unionByName(ids.filter(F.col("doc_id").isNull()).withColumn("root", F.lit(None).cast("long")))
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group."""
-    gone = near_duplicates(docs, shingle, num, den).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialise(gone, "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """``docs`` with one document of each near-duplicate group.
+
+    Rows with equal ids are one document: of those with equal texts the smallest row stays.
+    """
+    found = materialise(near_duplicates(docs, shingle, num, den), "found")
+    gone = _sent(materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    again = materialise(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "again")
+    if again.isEmpty():
+        return kept
+    again = _sent(again)
+    once = kept.join(again, kept["doc_id"] == again["again_id"], "left_anti")
+    rows = kept.join(again, kept["doc_id"] == again["again_id"], "left_semi").select(F.struct(*[kept[c] for c in docs.columns]).alias("own_row"))
+    rows = rows.groupBy(F.col("own_row.doc_id").alias("own_id"), F.col("own_row.text").alias("own_text")).agg(F.min("own_row").alias("own_row"))
+    return once.unionByName(rows.select("own_row.*"))
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids`` (a written table), to be sent to every task if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
