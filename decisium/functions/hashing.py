@@ -21,6 +21,20 @@ def sha_place(seed, n: Column, *cols) -> Column:
     return F.pmod(F.conv(F.substring(sha_order(seed, *cols), 1, 8), 16, 10).cast("long"), n).cast("int")
 
 
+#: Digits of sortable ids: all but the letters that read like others.
+SORTABLE = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def sortable_id(millis: Column, *cols) -> Column:
+    """26 digits that sort by time: ten of ``millis``, sixteen of the hash of ``cols``, so a rerun gives the same id."""
+    digits, draw = F.array(*[F.lit(c) for c in SORTABLE]), F.sha2(F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]), 256)
+    parts = [F.get(digits, F.pmod(F.shiftright(millis.cast("long"), 5 * i), F.lit(32)).cast("int")) for i in reversed(range(10))]
+    for k in range(4):  # five hexadecimal digits are four of these
+        five = F.conv(F.substring(draw, 5 * k + 1, 5), 16, 10).cast("long")
+        parts += [F.get(digits, F.pmod(F.shiftright(five, 5 * i), F.lit(32)).cast("int")) for i in reversed(range(4))]
+    return F.concat(*parts)
+
+
 def sha_mod(key: Column, modulus: int = 1000) -> Column:
     """The SHA-256 of ``key``, as a number, modulo ``modulus``: Horner over eight 32-bit words."""
     step = (1 << 32) % modulus

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from decisium.functions.arrays import bigrams, gold_probability, total
-from decisium.functions.text import ascii_words, word_count
+from decisium.functions.text import ascii_words, shortened, word_count
 from decisium.operators.validate import gold_is_padding
 
 
@@ -112,6 +112,60 @@ def verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("n_failed"))
 
 
+def example_row(probs: str = "probs") -> Column:
+    """A row as five lines of a list: question, options, gold with its probability, context, tier and source."""
+    gold = F.get("options", F.col("correct_index"))
+    options = F.array_join(F.transform("options", lambda o, i: F.concat(i.cast("string"), F.lit(". "), o)), " | ")
+    share = F.coalesce(F.format_string("%.2f", F.get(probs, F.col("correct_index"))), F.lit("?"))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("  - **question:** "), shortened("question", 140)),
+        F.concat(F.lit("    options: "), shortened(options, 170)),
+        F.concat(F.lit("    correct: idx="), said(F.col("correct_index")), F.lit(" → "), F.when(gold.isNull(), "?").otherwise(shortened(gold, 70)), F.lit(" (gold="), share, F.lit(")")),
+        F.concat(F.lit("    context: "), shortened("context", 150)),
+        F.concat(F.lit("    tier="), said(F.col("tier")), F.lit(" source="), said(F.col("generated_by"))),
+    )
+
+
+def census_report(df: DataFrame, bucket: Column, title: str = "Corpus") -> str:
+    """The census in sections: totals, families, buckets, and each family's topics with an example row.
+
+    ``df``: family, topic, split, seq, id and what ``example_row`` reads. Only tables of families and topics reach the driver.
+    """
+    of = lambda split: F.count_if(F.col("split") == split).alias(split)
+    topics = df.groupBy("family", F.coalesce("topic", F.lit("(none)")).alias("topic")).agg(of("train"), of("eval")).collect()
+    first = first_examples(df, "family").select("example")
+    shown = {r["family"]: r["shown"] for r in df.join(first, F.col("id") == F.col("example"), "left_semi").select("family", example_row().alias("shown")).collect()}
+    named = {r["family"]: r["bucket"] for r in df.select("family").distinct().withColumn("bucket", bucket).collect()}
+    families: dict[str, list[int]] = {}
+    for r in topics:
+        n = families.setdefault(r["family"], [0, 0])
+        n[0], n[1] = n[0] + r["train"], n[1] + r["eval"]
+    total = [sum(n[k] for n in families.values()) for k in (0, 1)]
+
+    def line(name: str, n: list[int]) -> str:
+        return f"| {name} | " + " | ".join(f"{x:,} | {100 * x / t if t else 0:.2f}%" for x, t in zip(n, total, strict=True)) + " |"
+
+    order = sorted(families, key=lambda f: (-sum(families[f]), f))
+    out = [f"# {title}", "", f"- train: {total[0]:,} rows", f"- eval: {total[1]:,} rows", "", "## Families", "", "| family | bucket | train | % | eval | % |", "|---|---|---:|---:|---:|---:|"]
+    out += [line(f"{f} | {named[f]}", families[f]) for f in order]
+    out += ["", "## Buckets", "", "| bucket | train | % | eval | % |", "|---|---:|---:|---:|---:|"]
+    for b in sorted(set(named.values())):
+        out.append(line(b, [sum(families[f][k] for f in order if named[f] == b) for k in (0, 1)]))
+    for f in order:
+        own = sorted((r for r in topics if r["family"] == f), key=lambda r: (-r["train"] - r["eval"], r["topic"]))
+        out += ["", f"## {f}", "", shown.get(f, ""), "", f"{len(own)} topics", "", "| topic | train | eval |", "|---|---:|---:|"]
+        out += [f"| {r['topic']} | {r['train']:,} | {r['eval']:,} |" for r in own]
+    return "\n".join(out) + "\n"
+
+
+def counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with run counters (rows for which each condition holds), filled by the first action on it; no pass of its own."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in counters.items()]), seen
+
+
 def markdown(census_rows: DataFrame, title: str = "Census") -> str:
     """A table of a small report (one row per family)."""
     names = census_rows.columns

@@ -72,6 +72,57 @@ def with_options(df: DataFrame, gold: str, wrong: str, seed: int, *ids: str) ->
     return df.withColumn("options", F.transform("ordered", lambda s: s["v"])).withColumn("correct_index", (F.array_position(F.transform("ordered", lambda s: s["i"]), 0) - 1).cast("int")).drop("ordered")
 
 
+FACT_QUESTIONS = {
+    "year": ("Which year does the passage give?", "When was this?"),
+    "place": ("Where is it, by the passage?",),
+    "number": ("Which number does the passage give?", "What figure is stated?"),
+    "who": ("Who is named as the one that did this?",),
+    "cat": ("What kind of thing is it?", "To which kind does it belong?"),
+}
+
+
+def fact_rows(facts: DataFrame, seed: int = 7, n_options: int = 8, tries: int = 40) -> DataFrame:
+    """(title, kind, context, question, options, correct_index) of facts (title, sentence_no, sentence, kind, answer).
+
+    Wrong options come from the answers of the same kind in drawn order (a bounded pool),
+    then from made ones: years from 1500 to 2030, ports, numbers, names, words. Places
+    that hold one another never meet. Every draw is a hash of title, sentence and its use.
+    """
+    ids = [F.col("title"), F.col("sentence_no")]
+
+    def letter(first: str, n: int, i: Column, name: str) -> Column:
+        return F.char(F.lit(ord(first)) + sha_place(seed, F.lit(n), *ids, F.lit(name), i))
+
+    def number(low: int, high: int, i: Column, name: str = "n") -> Column:
+        return (sha_place(seed, F.lit(high - low + 1), *ids, F.lit(name), i) + low).cast("string")
+
+    made = {
+        "year": lambda i: number(1500, 2030, i),
+        "place": lambda i: F.concat(F.lit("Port "), letter("A", 10, i, "a"), number(1, 99, i)),
+        "number": lambda i: number(1, 10_000, i),
+        "who": lambda i: F.concat(letter("A", 13, i, "a"), letter("a", 13, i, "b"), number(10, 99, i)),
+        "cat": lambda i: F.concat(letter("a", 13, i, "a"), letter("a", 13, i, "b"), F.lit(" "), number(1, 99, i)),
+    }
+    places = F.sequence(F.lit(0), F.lit(tries - 1))
+    out = []
+    for kind, questions in FACT_QUESTIONS.items():
+        df = facts.filter(F.col("kind") == kind)
+        own = F.array().cast("array<string>")
+        if kind != "year":
+            df = df.join(F.broadcast(pool(df, "answer", seed=seed)), F.lit(True))
+            own = F.transform(places, lambda i: F.get("pool", sha_place(seed, F.greatest(F.size("pool"), F.lit(1)), *ids, F.lit("p"), i)))
+        wrong = F.filter(F.array_distinct(F.concat(own, F.transform(places, made[kind]))), lambda v: v != F.col("answer"))
+        if kind == "place":
+            wrong = F.filter(wrong, lambda v: ~F.contains(F.col("answer"), v) & ~F.contains(v, F.col("answer")))
+        question = F.get(F.array(*[F.lit(q) for q in questions]), sha_place(seed, F.lit(len(questions)), *ids, F.lit("q")))
+        out.append(df.select("title", "sentence_no", "kind", F.col("sentence").alias("context"), question.alias("question"), "answer", F.slice(wrong, 1, n_options - 1).alias("wrong")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    rows = with_options(rows.filter(F.size("wrong") == n_options - 1), "answer", "wrong", seed, "title", "sentence_no")
+    return rows.select("title", "kind", "context", "question", "options", "correct_index")
+
+
 FAMILIES = ("define", "knowledge", "wikicat", "wikibox", "wikiret")
 QUESTIONS = {
     "define": "Which description fits the topic named here?",

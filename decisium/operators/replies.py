@@ -6,11 +6,15 @@ an endpoint.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decisium.functions.text import json_array_text, normal, parsed_choice, similarity
 from decisium.operators.validate import accept_reformulation, near_miss_ok
+from decisium.runtime import materialise
 
 INSTRUCTION = "Write {count} rows of the family {family}. Answer with a JSON array of objects."
 
@@ -118,3 +122,53 @@ def worker_specs(df: DataFrame, column: str = "value") -> DataFrame:
 def all_done(counts: DataFrame, need: int) -> DataFrame:
     """(done, percent) over (family, n): every family has what it needs."""
     return counts.agg(F.bool_and(F.col("n") >= need).alias("done"), F.round(100.0 * F.sum(F.least("n", F.lit(need))) / (F.count("*") * need), 6).alias("percent"))
+
+
+#: Statuses after which a request may be sent again.
+AGAIN = (429, 500, 502, 503, 504)
+
+
+def answered(requests: DataFrame, call: Callable[[DataFrame, int], DataFrame], tries: int = 5, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(request_id, status, reply, tries): every request once, with its last reply.
+
+    ``call`` (pending requests, number of the round) gives (request_id, status, reply); one
+    that gives none counts as status 503. Those whose status is in ``AGAIN`` are sent again
+    after ``wait`` seconds, doubled each round. What came is written after each round, so
+    only pending requests are repeated.
+    """
+    pending, done = requests, None
+    for k in range(tries):
+        if k:
+            sleep(wait * 2 ** (k - 1))
+        replies = call(pending, k).select(F.col("request_id").alias("reply_id"), "status", "reply")
+        sent = pending.join(replies, F.col("request_id") == F.col("reply_id"), "left").withColumn("status", F.coalesce("status", F.lit(503)))
+        sent = materialise(sent.withColumn("tries", F.lit(k + 1)), "round")
+        again = F.col("status").isin(*AGAIN) if k + 1 < tries else F.lit(False)
+        came = sent.filter(~again).select("request_id", "status", "reply", "tries")
+        done = came if done is None else done.unionByName(came)
+        pending = sent.filter(again).select(*requests.columns)
+        if pending.isEmpty():
+            break
+    return done
+
+
+def supervise(work: Callable[[DataFrame], None], counts: Callable[[], DataFrame], need: int, most_restarts: int = 50, wait: float = 20.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run ``work`` on (family, missing) until every family of ``counts`` (family, n) has ``need`` rows; gives the number of runs.
+
+    Work that fails is run again on what is still missing then: rows that it wrote count.
+    After ``most_restarts`` restarts its last error is raised.
+    """
+    failed: Exception | None = None
+    for k in range(most_restarts + 1):
+        missing = counts().filter(F.col("n") < need).select("family", (F.lit(need) - F.col("n")).alias("missing"))
+        if missing.isEmpty():
+            return k
+        if k:
+            sleep(wait)
+        try:
+            work(missing)
+        except Exception as e:
+            failed = e
+    if counts().filter(F.col("n") < need).isEmpty():
+        return most_restarts + 1
+    raise failed or RuntimeError("families are still short of rows")

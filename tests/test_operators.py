@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import random
 import re
 import unicodedata
@@ -12,6 +14,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from decisium import runtime
 from decisium.functions import arrays as A
 from decisium.functions import hashing as H
 from decisium.functions import text as T
@@ -356,3 +359,63 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_report(spark):
     df = spark.createDataFrame([("a", 1), ("b", None)], "family string, n int")
     assert audit.markdown(df).splitlines()[-1] == "| b |  |"
+
+
+def test_hash_first_equals_whole_sorts(spark):
+    """Counted prefixes give what sorting every group gives, for limits below, at and above a group's size, null groups too."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", "c", None])) for i in range(3000)]
+    most = {"a": 0, "b": 333, "c": 10**6, None: 7}
+    df, limits = spark.createDataFrame(rows, "id long, g string"), spark.createDataFrame(list(most.items()), "g string, most long")
+    sha = lambda g, i: hashlib.sha256("|".join(x for x in ("7", g, str(i)) if x is not None).encode()).hexdigest()
+    want = set()
+    for g, n in most.items():
+        want |= set(sorted((i for i, h in rows if h == g), key=lambda i: (sha(g, i), i))[:n])
+    got = merge.hash_first(df, "g", limits, "flag", 7, "g", "id").collect()
+    assert len(got) == 3000 and {r["id"] for r in got if r["flag"]} == want
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    lines = [["" if i % 7 == 0 else f"line {i} {'x' * (i % 50)}" for i in range(1, 4001)], ["one", "", "three"]]
+    for k, own in enumerate(lines):
+        (tmp_path / f"f{k}.jsonl").write_text("\n".join(own) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        got = sorted((r["path"][-7], r["line"], r["value"]) for r in jsonl.read_numbered(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(str(k), i, x) for k, own in enumerate(lines) for i, x in enumerate(own, 1) if x]
+
+
+def test_census_report(spark):
+    df = spark.createDataFrame(
+        [("r1", "f", "t", "train", 1), ("r2", "f", "t", "eval", 2), ("r3", "f", None, "train", 3), ("r4", "g", "u", "train", 4)], "id string, family string, topic string, split string, seq long"
+    ).withColumns({"question": F.lit("q?"), "options": F.array(F.lit("a"), F.lit("b")), "correct_index": F.lit(1), "probs": F.array(F.lit(0.1), F.lit(0.9)), "context": F.lit("c"), "tier": F.lit("shape"), "generated_by": F.lit("x")})
+    report = audit.census_report(df, F.when(F.col("family") == "f", "made").otherwise("mined")).split("\n")
+    assert "- train: 3 rows" in report and "| f | made | 2 | 66.67% | 1 | 100.00% |" in report and "| mined | 1 | 33.33% | 0 | 0.00% |" in report
+    assert "    correct: idx=1 → b (gold=0.90)" in report and "| (none) | 1 | 0 |" in report and "| t | 1 | 1 |" in report
+
+
+def test_supervision_gives_up(spark):
+    counts = lambda: spark.createDataFrame([("f", 1)], "family string, n long")
+    waits = []
+    with pytest.raises(KeyError):
+        replies.supervise(lambda missing: {}["lost"], counts, 2, most_restarts=3, sleep=waits.append)
+    assert waits == [20.0] * 3 and replies.supervise(None, counts, 1) == 0
+
+
+def test_rounds_wait_longer_each_time(spark):
+    waits = []
+    requests = spark.createDataFrame([(1,), (2,)], "request_id long")
+    call = lambda pending, k: pending.select("request_id", F.when(F.col("request_id") == 1, 200).otherwise(500).alias("status"), F.lit("x").alias("reply"))
+    out = {r["request_id"]: (r["status"], r["tries"]) for r in replies.answered(requests, call, tries=4, sleep=waits.append).collect()}
+    assert out == {1: (200, 1), 2: (500, 4)} and waits == [2.0, 4.0, 8.0]
+
+
+def test_written_tables_are_released(spark):
+    df = runtime.materialise(spark.range(5), "t")
+    path = df.inputFiles()[0].removeprefix("file://")
+    n, each = runtime.latency(df)
+    assert n == 5 and each > 0 and os.path.exists(path)
+    assert runtime.release(spark) >= 1 and not os.path.exists(path) and runtime.release(spark) == 0
