@@ -15,12 +15,13 @@ q div m times and q mod m tokens once more: whole blocks in the order of a seede
 permutation of the block numbers, and the beginning of the next one. A document's
 ``taken`` is the sum over the blocks that it lies in.
 
-Plan: one scan counts words natively and writes (row, id, source, size) to the
-shared folder. Sources and shards are aggregated from that, so no text is
-shuffled. A hot source has many shards, and only a shard is ever sorted by one
-task. The source table stays distributed: its rank comes from a range partition
-with counted offsets, its targets and quotas from a few aggregates that return
-sums. One row per shard (``shard_tokens`` tokens) is apportioned per source.
+Plan: one scan counts words natively and writes (row, id, source, size, hash of the
+text) to the shared folder. Sources and shards are aggregated from that, so no text
+is shuffled. A hot source has many shards, its rows stay where they are when they
+learn its plan, and only a shard is ever sorted by one task. The source table stays
+distributed: its rank comes from a range partition with counted offsets, its targets
+and quotas from a few aggregates that return sums. Shards of a source are apportioned
+at most ``FAN`` at a time: beyond, first among ranges of shards, then within them.
 
 Edge cases: null and empty texts have size 0 and take nothing; a source of size 0
 has target 0. A null source is a source of its own, last. Repeated rows are
@@ -34,6 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decisium.llm.spread import spread_join
 from decisium.llm.words import n_words, words
 from decisium.runtime import materialise
 
@@ -43,6 +45,8 @@ MOST = 2
 BLOCK_TOKENS = 128
 SHARD_TOKENS = 1 << 20
 SEED = 17
+#: Shards, or ranges of shards, that are apportioned at a time.
+FAN = 4096
 
 #: Large primes; any of them is prime to the number of a shard's blocks, so multiplying permutes them.
 _STEPS = (1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033, 1_000_000_087, 1_000_000_093, 1_000_000_097, 1_000_000_103)
@@ -143,6 +147,30 @@ def source_seats(sources: DataFrame, most: int = MOST) -> DataFrame:
     return held
 
 
+def shard_quotas(dealt: DataFrame, planned: DataFrame, shards: int, most: int, fan: int = FAN) -> DataFrame:
+    """(no_source, src, shard, shard_size, quota) of every shard that has tokens; ``shards``: the most that a source has."""
+    key = ["no_source", "src"]
+
+    def apportion(pdf):
+        pdf = pdf.sort_values("unit", ignore_index=True)
+        size = pdf["size"].to_numpy()
+        return pdf.drop(columns="seats").assign(quota=sainte_lague(size, int(pdf["seats"].iloc[0]), size * most))
+
+    sizes = materialise(dealt.groupBy(*key, "shard").agg(F.sum("size").alias("size")).filter("size > 0"), "shards")
+    given = planned.select(*key, F.lit(0).cast("long").alias("above"), "seats")
+    levels = 1
+    while fan**levels < shards:
+        levels += 1
+    for level in reversed(range(levels)):
+        unit = F.floor(F.col("shard") / F.lit(fan**level)).cast("long")
+        units = sizes.groupBy(*key, unit.alias("unit")).agg(F.sum("size").alias("size")).withColumn("above", F.floor(F.col("unit") / fan).cast("long"))
+        units = units.join(given, [*key, "above"]).select(*key, "above", "unit", "size", "seats")
+        units = units.groupBy(*key, "above").applyInPandas(apportion, "no_source boolean, src string, above long, unit long, size long, quota long")
+        units = materialise(units, "quotas")
+        given = units.select(*key, F.col("unit").alias("above"), F.col("quota").alias("seats"))
+    return units.select(*key, F.col("unit").alias("shard"), F.col("size").alias("shard_size"), "quota")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -154,7 +182,7 @@ def mix(
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, source, text, and row_no if it has one): its size, source_size, target, taken and how its shard is taken.
 
-    Shards and their order hang on the seed, doc_id and size alone, so reruns
+    Shards and their order hang on the seed, doc_id and text alone, so reruns
     agree however the table is split into files and tasks.
     """
     own = ["row_no"] if "row_no" in docs.columns else []
@@ -162,24 +190,17 @@ def mix(
         *own,
         "doc_id",
         F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
-        n_words(F.col("text")).alias("size")
+        n_words(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("own"),
     )
     sized = materialise(sized, "sizes")
     key = ["no_source", "src"]
-    by_source = sized.groupBy(*key).agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy(*key).agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     planned = materialise(source_seats(targets(by_source, weights, share, most), most), "plan")
-    planned = planned.select(*key, "source_size", "target", "seats", F.greatest(F.lit(1), F.ceil(F.col("source_size") / float(shard_tokens))).cast("long").alias("shards"))
-    dealt = sized.join(planned, key).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("shards")))
-    shards = dealt.groupBy(*key, "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-
-    def apportion(pdf):
-        pdf = pdf.sort_values("shard", ignore_index=True)
-        size = pdf["shard_size"].to_numpy()
-        quota = sainte_lague(size, int(pdf["seats"].iloc[0]), size * most)
-        return pdf[[*key, "shard", "shard_size"]].assign(blocks=-(-size // block_tokens), quota=quota)
-
-    quotas = shards.groupBy(*key).applyInPandas(apportion, "no_source boolean, src string, shard long, shard_size long, blocks long, quota long")
-    quotas = materialise(quotas, "quotas").filter(F.col("blocks") > 0)
+    planned = planned.select(*key, "source_size", "target", "seats", "rows", F.greatest(F.lit(1), F.ceil(F.greatest("source_size", "rows") / float(shard_tokens))).cast("long").alias("shards"))
+    totals = planned.agg(F.sum("rows").alias("rows"), F.max("shards").alias("shards")).first()
+    dealt = spread_join(sized, planned, key, "rows", totals["rows"] or 0).withColumn("shard", F.pmod("own", F.col("shards")))
+    quotas = shard_quotas(dealt, planned, totals["shards"] or 1, most).withColumn("blocks", F.ceil(F.col("shard_size") / float(block_tokens)))
     quotas = quotas.withColumns(
         {
             "every": F.expr("quota div shard_size"),
@@ -192,7 +213,7 @@ def mix(
     short = F.pmod("shard_size", F.lit(block_tokens))
     before = block_turn(F.col("blocks") - 1) * block_tokens + short
     quotas = quotas.withColumn("stop", F.col("more") + F.when((short > 0) & (F.col("more") >= before), block_tokens - short).otherwise(0)).drop("shard_size")
-    order = Window.partitionBy(*key, "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col("size")), "doc_id", "size", *own)
+    order = Window.partitionBy(*key, "shard").orderBy(F.xxhash64(F.lit("order"), "own"), "doc_id", "size", *own)
     placed = dealt.withColumn("start", F.sum("size").over(order) - F.col("size"))
     placed = placed.join(quotas, [*key, "shard"], "left")
     b = float(block_tokens)

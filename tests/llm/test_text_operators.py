@@ -268,9 +268,7 @@ def test_mix(spark, sf_dir, shard):
         assert r["source_size"] == sizes[s]
         assert r["target"] == pytest.approx(targets[s])
         taken[s] += r["taken"]
-    for s, t in targets.items():
-        blocks = 2 * -(-sizes[s] // shard) + 2
-        assert abs(taken[s] - t) <= mixing.BLOCK_TOKENS * blocks
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
     again = mixing.mix(docs.repartition(7), shard_tokens=shard).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
 
@@ -305,6 +303,21 @@ def test_mix_gives_small_sources_their_share(spark):
     assert all(abs(words[s] - want[s]) <= 1 for s in n)
 
 
+def test_shards_are_apportioned_in_ranges(spark):
+    """Quotas through ranges of four shards add up, stay below twice the size, and lie near the shares."""
+    rng = random.Random(4)
+    size = {("s", k): rng.choice((0, 1, 30, 500)) for k in range(90)} | {("t", 0): 7, (None, 1): 40}
+    dealt = spark.createDataFrame([(s is None, s or "", k, n) for (s, k), n in size.items()], "no_source boolean, src string, shard long, size long")
+    seats = {"s": 9000, "t": 14, None: 0}
+    planned = spark.createDataFrame([(s is None, s or "", n) for s, n in seats.items()], "no_source boolean, src string, seats long")
+    got = {(None if r["no_source"] else r["src"], r["shard"]): r["quota"] for r in mixing.shard_quotas(dealt, planned, 90, 2, fan=4).collect()}
+    assert got.keys() == {k for k, n in size.items() if n}
+    for s, n in seats.items():
+        own = {k: v for k, v in got.items() if k[0] == s}
+        total = sum(size[k] for k in own)
+        assert sum(own.values()) == n and all(v <= 2 * size[k] and abs(v - n * size[k] / total) <= 5 for k, v in own.items())
+
+
 def brute_spans(text, rules):
     text = text or ""
     out = []
