@@ -122,5 +122,38 @@ FROM s GROUP BY conv_id
 """
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN n >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w
+), c AS (
+  SELECT g, list_sort(g) AS k, doc_id, len(g) AS n, min(doc_id) OVER (PARTITION BY list_sort(g)) AS rep FROM g
+), s AS (
+  SELECT doc_id, n, unnest(g) AS g FROM c WHERE doc_id = rep AND n > 0
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (
+  SELECT a, least(a, min(b)) AS root FROM r GROUP BY a
+)
+SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE coalesce(m.root, c.rep) END AS component_id,
+  c.n = 0 OR c.doc_id = coalesce(m.root, c.rep) AS kept
+FROM c LEFT JOIN m ON c.rep = m.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_chat": OP7_SQL}
+    return {"op7_preference_chat": OP7_SQL, "op8_warc": OP8_SQL, "op9_near_dedup": OP9_SQL}

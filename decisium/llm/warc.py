@@ -2,14 +2,17 @@
 
 A record is one gzip member. ``read_records`` is the sequential reader: it
 inflates a byte stream piece by piece, cuts records where members end, frames
-the block by Content-Length and verifies block and payload digests; it holds one
-record at a time and never seeks.
+the block by Content-Length and verifies block and payload digests where they are
+given (sha1, sha256 or md5, hex or base32); it holds one record at a time and never
+seeks. Records of every type come out. The payload is what follows the header of an
+HTTP block, and all of any other block.
 
 Pages with equal payloads of at least ``MIN_REVISIT_BYTES`` are stored once: the
 smallest page_id is a response, the others are revisit records without payload
 that name it. Which payloads occur twice is found by a native aggregate over
 digests, so page bodies are shuffled only if the table of such digests is too
-large to send to every task (``BROADCAST_ROWS`` rows, checked by counting it).
+large to send to every task (``BROADCAST_ROWS`` rows of about 60 bytes, checked by
+counting it), and then neither short pages nor those of very common payloads.
 
 Archives are files of about ``ARCHIVE_BYTES`` in the folder that the cluster
 shares, written by the tasks. A file's name holds its task attempt, and only files
@@ -23,6 +26,7 @@ URL is empty. An empty table writes no archive and gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -31,11 +35,12 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decisium.llm.spread import spread_join
 from decisium.runtime import materialise, shared_path
 
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 2_000_000
 READ_BYTES = 1 << 18
 #: A record's date when the table has none.
 DATE = "2024-01-01T00:00:00Z"
@@ -88,26 +93,59 @@ def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
         raise BrokenArchive("the last member is cut off")
 
 
+def digest_holds(stated: str, data: bytes) -> bool:
+    """Whether ``data`` has the digest ``algorithm:value``; one of an algorithm that isn't known says nothing."""
+    algorithm, _, value = stated.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("sha1", "sha256", "md5"):
+        return True
+    found = hashlib.new(algorithm, data, usedforsecurity=False).digest()
+    return value.strip().lower() in (found.hex(), base64.b32encode(found).decode().rstrip("=").lower(), base64.b32encode(found).decode().lower())
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    """The header lines after the first, names in lower case; a line that begins with white space goes on with the one before."""
+    headers: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            headers[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            headers[name] = value.strip()
+    return headers
+
+
 def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, payload) of each record of a byte stream."""
+    """(headers with lower-case names, payload) of each record of a byte stream.
+
+    A revisit's payload digest is that of the record it names, and one of a payload in
+    transfer encoding that of the decoded payload; neither is verified here.
+    """
     for member in _members(chunks):
         end = member.find(b"\r\n\r\n")
         if end < 0 or not member.startswith(b"WARC/1."):
             raise BrokenArchive("no WARC header")
-        headers = {}
-        for line in member[:end].decode().split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        block = memoryview(member)[end + 4 : end + 4 + size]
-        if len(block) != size or member[end + 4 + size :] != b"\r\n\r\n":
-            raise BrokenArchive(f"{headers.get('warc-record-id')}: the block isn't as long as stated")
-        if f"sha256:{hashlib.sha256(block).hexdigest()}" != headers["warc-block-digest"]:
-            raise BrokenArchive(f"{headers.get('warc-record-id')}: block digest")
-        body = member.find(b"\r\n\r\n", end + 4) + 4
-        payload = member[body : end + 4 + size]
-        if headers["warc-type"] != "revisit" and f"sha256:{hashlib.sha256(payload).hexdigest()}" != headers["warc-payload-digest"]:
-            raise BrokenArchive(f"{headers.get('warc-record-id')}: payload digest")
+        headers = _headers(member[:end])
+        name = headers.get("warc-record-id")
+        if not headers.get("content-length", "").isdigit():
+            raise BrokenArchive(f"{name}: no length")
+        first, stop = end + 4, end + 4 + int(headers["content-length"])
+        block = memoryview(member)[first:stop]
+        if len(member) < stop or member[stop:] != b"\r\n\r\n":
+            raise BrokenArchive(f"{name}: the block isn't as long as stated")
+        if not digest_holds(headers.get("warc-block-digest", ""), block):
+            raise BrokenArchive(f"{name}: block digest")
+        encoded = False
+        if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+            http = member.find(b"\r\n\r\n", first, stop)
+            encoded = http >= 0 and "transfer-encoding" in _headers(member[first:http])
+            first = http + 4 if http >= 0 else stop
+        payload = member[first:stop]
+        own = headers.get("warc-type") != "revisit" and not encoded
+        if own and not digest_holds(headers.get("warc-payload-digest", ""), payload):
+            raise BrokenArchive(f"{name}: payload digest")
         yield headers, payload
 
 
@@ -116,14 +154,18 @@ def plan_revisits(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     sized = F.octet_length("html") >= MIN_REVISIT_BYTES
-    own = rows.withColumn("digest", F.when(sized, F.sha2(F.col("html").cast("binary"), 256)))
-    twice = own.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    twice = materialise(twice, "payloads").withColumnRenamed("digest", "twice_digest")
-    n = twice.count()
-    if not n:
+    own = rows.withColumn("digest", F.when(sized, F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
+    some = own.filter(F.col("digest").isNotNull())
+    twice = some.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    twice = materialise(twice, "payloads")
+    seen = twice.agg(F.count("*").alias("digests"), F.sum("n").alias("rows")).first()
+    if not seen["digests"]:
         return rows.withColumn("refers_to", F.lit(None).cast("long"))
-    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    found = own.join(twice, F.col("digest") == F.col("twice_digest"), "left")
+    if seen["digests"] <= BROADCAST_ROWS:
+        found = own.join(F.broadcast(twice), "digest", "left")
+    else:
+        short = own.filter(F.col("digest").isNull()).withColumn("first_id", F.lit(None).cast("long"))
+        found = spread_join(some, twice, "digest", "n", seen["rows"], "left").unionByName(short)
     refers = F.when(F.col("first_id") != F.coalesce(F.col("page_id"), F.lit(-1) - F.abs("first_id")), F.col("first_id"))
     return found.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -164,7 +206,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
 
 
 def read_archives(manifest: DataFrame, parallel: int | None = None) -> DataFrame:
-    """All records of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_digest, payload."""
+    """All records of the archives in ``manifest``: page_id, url, record_type, refers_to, payload_digest, payload.
+
+    The digest is the payload's SHA-256 in hex, of a revisit that which it states. Records
+    that others wrote have no page_id; the manifest needs only the column path.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -179,7 +225,9 @@ def read_archives(manifest: DataFrame, parallel: int | None = None) -> DataFrame
                     rows, size = [], 0
                     for h, payload in read_records(iter(lambda s=source: s.read(READ_BYTES), b"")):
                         page, refers = h.get("x-page-id"), h.get("x-refers-to-page-id")
-                        rows.append((int(page) if page else None, h["warc-target-uri"], h["warc-type"], int(refers) if refers else None, h["warc-payload-digest"].removeprefix("sha256:"), payload))
+                        kind, stated = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha256:")
+                        digest = stated if kind == "revisit" else hashlib.sha256(payload).hexdigest()
+                        rows.append((int(page) if page else None, h.get("warc-target-uri"), kind, int(refers) if refers else None, digest, payload))
                         size += len(payload)
                         if size > 8 << 20 or len(rows) >= 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
@@ -199,11 +247,13 @@ def resolved(records: DataFrame) -> DataFrame:
     Fails if a revisit's digest isn't that of the response.
     """
     held = materialise(records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), "records")
-    revisits = held.filter(F.col("record_type") == "revisit")
-    named = held.filter(F.col("record_type") == "response").select(F.col("page_id").alias("to_id"), F.col("payload_bytes").alias("to_bytes"), F.col("payload_digest").alias("to_digest"))
-    named = named.join(revisits.select(F.col("refers_to").alias("to_id")).distinct(), "to_id", "left_semi").dropDuplicates(["to_id", "to_digest"])
-    found = revisits.join(named, (F.col("refers_to") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest")), "left")
-    checked = F.when(F.col("to_digest").isNull(), F.raise_error(F.lit("a revisit names no response with its digest"))).otherwise(F.col("to_bytes"))
-    return held.filter(F.col("record_type") == "response").unionByName(
-        found.select("page_id", checked.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    )
+    key = ["refers_to", "payload_digest"]
+    revisits = held.filter(F.col("record_type") == "revisit").select("page_id", "record_type", *key)
+    responses = held.filter((F.col("record_type") == "response") & F.col("page_id").isNotNull())
+    named = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    counts = materialise(revisits.groupBy(*key).agg(F.count("*").alias("n")), "named")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = spread_join(revisits, materialise(counts.join(named, key, "left"), "named"), key, "n", total)
+    checked = F.when(F.col("payload_bytes").isNull(), F.raise_error(F.lit("a revisit names no response with its digest"))).otherwise(F.col("payload_bytes"))
+    found = found.select("page_id", checked.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return held.filter(F.col("record_type") == "response").unionByName(found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -182,6 +183,44 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     assert differences(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name]) == []
 
 
+def foreign(kind, block, **more):
+    fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:x>", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in more.items()}
+    return gzip.compress(b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_that_others_wrote(spark, tmp_path):
+    """Records of other types, digests of other kinds or none, folded headers; a wrong digest is found."""
+    base32 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hello</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    made = [
+        foreign("warcinfo", b"software: x\r\n\r\nmore", Content_Type="application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http;msgtype=request", WARC_Payload_Digest=base32(b"")),
+        foreign("response", http, Content_Type="application/http; msgtype=response", WARC_Block_Digest=base32(http), WARC_Payload_Digest=base32(b"<p>hello</p>"), WARC_Target_URI="http://x/\r\n y"),
+        foreign("response", chunked, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=base32(b"abc")),
+        foreign("resource", b"plain", Content_Type="text/plain", WARC_Payload_Digest="md5:" + hashlib.md5(b"plain").hexdigest().upper(), WARC_Block_Digest="crc9:zz"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", Content_Type="application/http", WARC_Payload_Digest=base32(b"<p>hello</p>")),
+    ]
+    got = [(h["warc-type"], payload) for h, payload in warc.read_records([b"".join(made)])]
+    assert got == [("warcinfo", b"software: x\r\n\r\nmore"), ("request", b""), ("response", b"<p>hello</p>"), ("response", chunked.split(b"\r\n\r\n", 1)[1]), ("resource", b"plain"), ("revisit", b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(made))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")).collect()
+    assert [(r["record_type"], bytes(r["payload"])) for r in rows] == got and rows[2]["url"] == "http://x/ y" and rows[4]["payload_digest"] == hashlib.sha256(b"plain").hexdigest()
+    for broken in (foreign("resource", b"plain", WARC_Payload_Digest=base32(b"other")), foreign("resource", b"plain", WARC_Block_Digest="md5:00"), gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n\r\n\r\n")):
+        with pytest.raises(warc.BrokenArchive):
+            list(warc.read_records([broken]))
+
+
+def test_revisits_beyond_the_broadcast(spark, monkeypatch):
+    """Too many repeated payloads to send to every task: hot ones spread, short ones left alone, the same plan of revisits."""
+    rows = [(i, f"http://h/{i}", f"{i % 40} " * 60 if i < 900 else "common " * 40 if i < 2000 else "short" if i < 2500 else None) for i in range(2600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = sorted(map(tuple, warc.plan_revisits(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, warc.plan_revisits(df).collect())) == want
+    assert sum(r[3] is not None for r in want) == 2000 - 41
+
+
 def test_chat_pairs(spark):
     turns = "pair_id long, turn long, role string, text string, a int, n int"
     chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "more"), (2, 0, "user", None), (2, 1, None, "x"), (3, 0, "user", "only"), (4, 0, "user", "<|im_end|>"), (4, 0, "assistant", "tie"), (None, 0, "user", "n")]
@@ -317,6 +356,27 @@ def test_signatures_estimate_similarity():
     assert bands * rows <= near_dup.COORDINATES and (1 - 0.85**rows) ** bands <= near_dup.MISS
 
 
+def test_large_group_of_near_copies(spark):
+    """Thousands of near copies of one text, of drifting ones and of one that only looks alike, in blocks of forty."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(2500):
+        own = [*base]
+        own[rng.randrange(120)] = word()
+        rows.append((i, " ".join(own)))
+    for i in range(300):  # each like the one before
+        base[i % 120] = word()
+        rows.append((5000 + i, " ".join(base)))
+    rows += [(9000 + i, " ".join([*base[:60], *(word() for _ in range(40))])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 3, 85, 100, group=40).collect()}
+    assert all(got[i] == 0 for i in range(2500)) and all(got[9000 + i] == 9000 + i for i in range(30))
+    want = brute_near(rows[2400:], 3, 85, 100)
+    assert all(got[i] == (0 if want[i][1] == 2400 else want[i][1]) for i in range(5000, 5300))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]
