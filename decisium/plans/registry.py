@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decisium.plans import models, rows, runs, shapes, workflows  # noqa: F401  they register their queries
+from decisium.plans import generated, models, rows, runs, shapes, workflows  # noqa: F401  they register their queries
 from decisium.plans.base import FOUND
 
 

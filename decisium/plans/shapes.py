@@ -11,7 +11,7 @@ from decisium.functions import wiki
 from decisium.operators import mining, replies
 from decisium.plans.base import PAGES, ROWS, decision_rows, n2, pages, query
 from decisium.runtime import materialise, shared_path, table
-from decisium.sources import generators, records
+from decisium.sources import records
 from decisium.streaming import incremental
 
 
@@ -236,42 +236,6 @@ for _source in records.DECODERS:
     _decoder(_source)
 
 
-def _generated(family):
-    @query(f"gen_{family}")
-    def generate(spark, sf_dir):
-        df = generators.rows(spark, family, 200)
-        return df.select("id", "family", "context", "question", F.array_join("options", "|").alias("options"), "correct_index")
-
-
-for _name in generators.FAMILIES:
-    _generated(_name)
-
-
-def _chain(family):
-    @query(f"gen_{family}_seeds")
-    def seeds(spark, sf_dir):
-        df = generators.chain_seeds(spark, family, 200)
-        return df.select("row_no", "family", F.to_json("seed").alias("seed"), generators.seed_line(family, F.col("seed")).alias("line"), "expected")
-
-    @query(f"verify_{family}", "SELECT i AS row_no, i % 3 > 0 AS verified, i % 3 > 0 AS wanted FROM range(200) t(i)")
-    def verify(spark, sf_dir):
-        """Rows that honour their seeds, and each third one with a wrong answer."""
-        df = generators.chain_seeds(spark, family, 200)
-        text = F.concat(generators.seed_line(family, F.col("seed")), F.lit(" It is done."))
-        gold = F.when(F.col("row_no") % 3 == 0, F.lit("none")).otherwise(F.concat(F.col("expected"), F.lit(" it is")))
-        return df.select("row_no", generators.verified(family, text, gold, F.col("seed")).alias("verified"), (F.col("row_no") % 3 > 0).alias("wanted"))
-
-
-for _name in generators.CHAINS:
-    _chain(_name)
-
-
-@query("gen_noise")
-def gen_noise(spark, sf_dir):
-    df = generators.noised(generators.rows(spark, "retrieval", 200))
-    return df.select("id", "source_id", "context", "noise_injected", "correct_index")
-
-
 def _requests(spark, sf_dir):
     """All decision rows with a seq of their own, eight to a request, and replies that change some of them."""
     df = replies.batches(decision_rows(spark, sf_dir), 8)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decisium.functions.arrays import default_probs
+from decisium.functions.hashing import sha_order, sha_place
 from decisium.operators.mining import with_options
 
 N_OPTIONS = 8
@@ -51,22 +52,19 @@ class Draw:
     """Seeded draws of one row; ``name`` tells the draws of a row apart."""
 
     def __init__(self, seed: int, family: str, row: Column):
-        self.key = (F.lit(seed), F.lit(family), row)
-
-    def hash(self, name: str) -> Column:
-        return F.xxhash64(*self.key, F.lit(name))
+        self.seed, self.key = seed, (F.lit(family), row)
 
     def number(self, name: str, low: int, high: int) -> Column:
-        return (F.pmod(self.hash(name), F.lit(high - low + 1)) + low).cast("int")
+        return (sha_place(self.seed, F.lit(high - low + 1), *self.key, F.lit(name)) + low).cast("int")
 
     def pick(self, name: str, values: list | Column) -> Column:
         a = _array(values) if isinstance(values, list) else values
-        return F.get(a, F.pmod(self.hash(name), F.size(a)).cast("int"))
+        return F.get(a, sha_place(self.seed, F.size(a), *self.key, F.lit(name)))
 
     def order(self, name: str, values: list | Column) -> Column:
         """All values in drawn order."""
         a = _array(values) if isinstance(values, list) else values
-        keyed = F.transform(a, lambda x, i: F.struct(F.xxhash64(*self.key, F.lit(name), i).alias("k"), x.alias("x")))
+        keyed = F.transform(a, lambda x, i: F.struct(sha_order(self.seed, *self.key, F.lit(name), i).alias("k"), x.alias("x")))
         return F.transform(F.array_sort(keyed), lambda s: s["x"])
 
 
