@@ -49,8 +49,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
+    def count(rule):
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long")
+
     own = F.filter("spans", lambda s: s["rule"] < len(base))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rule"] == i)).cast("long").alias(f"n_{k}") for k, i in base.items()]
+    counts = [count(i).alias(f"n_{k}") for k, i in base.items()]
     return found.select("doc_id", *counts, F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
@@ -155,5 +158,27 @@ FROM c LEFT JOIN m ON c.rep = m.a
 """
 
 
+def _op6_sql() -> str:
+    """Spans by splitting texts at marked matches: pieces with even numbers are matches, and lengths before them give their places."""
+    mark, found = "chr(57345)", []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern
+        if r.ignore_case:  # of ASCII letters only, in the keywords before the first bracket
+            keywords, rest = pattern.split(")", 1)
+            pattern = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in keywords) + ")" + rest
+        pattern = pattern.replace("'", "''")
+        found.append(f"""SELECT doc_id, {k} AS rule, '{r.kind}' AS kind, start, start + length(piece) AS stop FROM (
+  SELECT doc_id, j, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY j) - length(piece) AS start FROM (
+    SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS j FROM (
+      SELECT doc_id, string_split(regexp_replace(text, '{pattern}', {mark} || '\\0' || {mark}, 'g'), {mark}) AS p FROM t WHERE regexp_matches(text, '{pattern}'))))
+WHERE j % 2 = 0 AND length(regexp_extract(piece, '{pattern}', {r.group})) >= {r.least}""")
+    base = range(len(secret_scan.BASE_RULES))
+    counts = ", ".join(f"count(*) FILTER (WHERE rule = {k}) AS n_{secret_scan.RULES[k].kind}" for k in base)
+    span = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(found)})
+SELECT t.doc_id, {counts}, sha256(coalesce(string_agg({span}, ',' ORDER BY start, rule) FILTER (WHERE rule <= {max(base)}), '')) AS base_sha256, coalesce(string_agg({span}, ',' ORDER BY start, rule), '') AS spans
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id GROUP BY t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_preference_chat": OP7_SQL, "op8_warc": OP8_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op6_secret_scan": _op6_sql(), "op7_preference_chat": OP7_SQL, "op8_warc": OP8_SQL, "op9_near_dedup": OP9_SQL}
