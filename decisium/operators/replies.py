@@ -32,6 +32,72 @@ def prompts(df: DataFrame, count: int = 8) -> DataFrame:
     return per.select("request_id", system.alias("system"), F.to_json(F.transform("rows", lambda r: r["row"])).alias("user"))
 
 
+# fixed values: the numbers of options that a family's requests ask for, in turn
+OPTION_COUNTS = {
+    "retrieval": (8, 8, 8, 8, 4, 4, 4, 4, 5, 6, 7),
+    "permuted": (8, 8, 8, 8, 4, 4, 4, 4, 5, 6, 7),
+    "paraphrase": (8, 8, 8, 4, 4, 5, 6, 7),
+    "order": (8, 8, 8, 4, 4, 5, 6, 7),
+    "define": (8, 8, 8, 4, 4, 5, 6, 7),
+    "analogy": (8, 8, 8, 4, 4, 5, 6, 7),
+    "cause": (8, 8, 8, 4, 4, 5, 6, 7),
+    "summary": (8, 8, 8, 4, 4, 5, 6, 7),
+    "knowledge": (8, 8, 8, 4, 4, 5, 6, 7),
+    "consistency": (8, 8, 8, 4, 4, 5, 6, 7),
+    "intent": (8, 8, 8, 8, 4, 5, 6, 7),
+    "tone": (2, 3, 4, 5, 6),
+    "ambiguity": (2, 3, 4, 5, 6),
+    "open": (8, 8, 8, 4, 4, 4, 2, 3, 5, 6, 7),
+    "longread": (4, 4, 4, 4, 2, 3, 5, 6),
+    "chain_arithmetic": (8, 8, 8, 4, 4, 4, 2, 3, 5, 6, 7),
+    "chain_logic": (8, 8, 8, 4, 4, 4, 2, 3, 5, 6, 7),
+    "chain_sequence": (8, 8, 8, 4, 4, 4, 2, 3, 5, 6, 7),
+    "chain_retrieval": (8, 8, 8, 4, 4, 4, 2, 3, 5, 6, 7),
+    "reformulate": (8, 8, 8, 4, 4, 5, 6, 7),
+    "near_miss": (8, 8, 8, 4, 4, 5, 6, 7),
+}
+#: What each family's rows are about, in this package's own words.
+INSTRUCTIONS = {
+    "retrieval": "State several facts in the context and ask for one of them; the other options are facts of the same kind.",
+    "permuted": "As retrieval, but give the options in another order than the context does.",
+    "paraphrase": "Give a sentence and ask which option says the same in other words.",
+    "order": "Tell a few events in order and ask what happened first, last, before or after.",
+    "define": "Name a word and ask what it means.",
+    "analogy": "Give a pair of words and ask for the partner of a third.",
+    "cause": "Describe a situation and ask for its most likely cause or effect.",
+    "summary": "Give a short passage and ask which option sums it up.",
+    "knowledge": "Ask for a fact that most people know; leave the context empty.",
+    "consistency": "Give a passage and ask which option agrees with all of it.",
+    "intent": "Give what somebody says and ask what they want.",
+    "tone": "Give what somebody says and ask how they feel about it.",
+    "ambiguity": "Write a passage that leaves the question open; there is no right option, and probabilities are spread.",
+    "open": "Ask any question that fits the topic, easy or hard.",
+    "longread": "Write a passage of several paragraphs and ask for something that only careful reading gives.",
+    "chain_arithmetic": "Tell a small story whose answer takes the given calculation.",
+    "chain_logic": "State the given implications and ask for what follows in the end.",
+    "chain_sequence": "Name the given items in order and ask for the one at the given distance.",
+    "chain_retrieval": "State the given value and its change, and ask for the result.",
+    "reformulate": "Ask the same question in other words; options and gold stay.",
+    "near_miss": "Change the named option a little, so that it is nearly but not quite another one.",
+}
+SYSTEM = "You write rows of multiple-choice training data. Answer with one JSON array of objects and nothing else."
+
+
+def family_requests(df: DataFrame, count: int = 5) -> DataFrame:
+    """``df`` (family, call_no, topic or null) with n_options, system and user; families without an instruction are left out.
+
+    The number of options goes through the family's cycle by call_no.
+    """
+    table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)])
+    family = F.lower(F.trim("family"))
+    counts = F.element_at(table({k: F.array(*[F.lit(n) for n in v]) for k, v in OPTION_COUNTS.items()}), family)
+    said = F.element_at(table({k: F.lit(v) for k, v in INSTRUCTIONS.items()}), family)
+    df = df.withColumn("n_options", F.get(counts, F.pmod(F.col("call_no"), F.size(counts)).cast("int"))).withColumn("said", said).filter("said is not null")
+    topic = F.when(F.coalesce(F.col("topic"), F.lit("")) != "", F.concat(F.lit("\nAll rows are about "), F.col("topic"), F.lit("."))).otherwise("")
+    user = F.concat(F.col("said"), F.lit(f"\nWrite {count} rows of "), F.col("n_options").cast("string"), F.lit(" options each, the options in random order."), topic)
+    return df.withColumn("system", F.lit(SYSTEM)).withColumn("user", user).drop("said")
+
+
 def reply_text(reply: Column) -> Column:
     """The text of a reply of any provider's shape: plain, wrapped in data, content as text or parts, else its reasoning."""
     v = F.try_parse_json(reply)

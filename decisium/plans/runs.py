@@ -145,6 +145,46 @@ def wiki_fact_rows(spark, sf_dir):
     return rows.select("title", "kind", "context", "question", F.array_join("options", "|").alias("options"), "correct_index")
 
 
+_COUNTS = ", ".join(f"('{f}', {list(n)}, '{replies.INSTRUCTIONS[f]}')" for f, n in replies.OPTION_COUNTS.items())
+
+
+@query(
+    "family_requests",
+    f"""SELECT f AS family, call_no, topic, counts[call_no % len(counts) + 1] AS n_options, '{replies.SYSTEM}' AS system,
+  said || chr(10) || 'Write 5 rows of ' || counts[call_no % len(counts) + 1] || ' options each, the options in random order.' || coalesce(chr(10) || 'All rows are about ' || topic || '.', '') AS user
+FROM (VALUES {_COUNTS}) t(f, counts, said), (SELECT n_nationkey AS call_no, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS topic FROM nation)""",
+)
+def family_requests(spark, sf_dir):
+    """Twenty-five calls of every family, every second one with a topic, and one family that nobody knows."""
+    families = spark.createDataFrame([(f,) for f in [*replies.OPTION_COUNTS, "nonsense"]], "family string")
+    calls = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("call_no"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("topic"))
+    return replies.family_requests(calls.join(F.broadcast(families), F.lit(True))).select("family", "call_no", "topic", "n_options", "system", "user")
+
+
+@query(
+    "orc_ingest",
+    """WITH l AS (SELECT doc_id, doc_id % 50 AS k FROM documents),
+g AS (SELECT * FROM l WHERE k % 7 <> 3),
+u AS (SELECT DISTINCT k FROM g WHERE k >= 5)
+SELECT (SELECT count(*) FROM l) AS scanned, (SELECT count(*) FROM l WHERE k % 7 = 3) AS unanswerable, (SELECT count(*) FROM g WHERE k < 5) AS reserved,
+  (SELECT count(*) FROM g WHERE k >= 5) - count(*) AS duplicates, least(count(*), 30) AS written, least(count(*), 30) AS in_file, CAST(4 * least(count(*), 30) AS BIGINT) AS options FROM u""",
+)
+def orc_ingest(spark, sf_dir):
+    """Records of fifty questions, many times each, from files to one family's file."""
+    from decisium.operators import keys
+    from decisium.sources import records
+
+    k = (F.col("doc_id") % 50).cast("string")
+    record = F.struct(F.concat(F.lit("Question "), k).alias("question"), F.array(*[F.concat(F.lit(f"{x} "), k) for x in "pqrs"]).alias("choices"), F.when(F.col("doc_id") % 50 % 7 == 3, 9).otherwise(2).alias("answer"), F.lit("law").alias("subject"))
+    path, out = shared_path(spark, "records"), shared_path(spark, "family")
+    lines = docs(spark, sf_dir).select("doc_id", F.to_json(record).alias("value"))
+    lines.select("value").repartition(3).write.text(path)
+    reserved = records.decode(lines.filter("doc_id % 50 < 5"), "mmlu").select(keys.row_key().alias("key"))
+    found = records.ingest(spark, path, "mmlu", "mmlu", out, reserved, 30)
+    written = spark.read.json(out).agg(F.count("*").alias("in_file"), F.sum(F.size("options")).alias("options"))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found)).join(F.broadcast(written), F.lit(True))
+
+
 _FAMILIES = ", ".join(f"('{f}')" for f in generators.FAMILIES)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decisium.functions.arrays import clean_options, default_probs
@@ -146,6 +146,7 @@ DECODERS: dict[str, Callable[[Column], Column]] = {
     "math_mc": lettered,
 }
 #: Accepted rows that an ingest takes of a source, where it has a limit.
+# fixed values: the most rows that a source gives
 CAPS = {"quality_qa": 6700, "qasc": 8134, "medmcqa": 30_000, "mmlu": 40_000, "gsm_mc": 7000, "math_mc": 7000}
 
 
@@ -171,6 +172,25 @@ def canonical(rows: DataFrame, family: str, confidence: float = 0.95) -> DataFra
     )
 
 
+def ingest(spark: SparkSession, path: str, source: str, family: str, out: str, reserved: DataFrame | None = None, cap: int | None = None) -> dict[str, int]:
+    """A whole run: scan JSON Lines of ``source`` records, keep answerable rows that ``reserved`` (key) doesn't hold, the first of
+    each row key, ``cap`` of them at most, and write them as rows of ``family``; gives the run's counters from its own pass."""
+    from decisium.operators import audit, keys, merge
+    from decisium.runtime import materialise
+    from decisium.sources.jsonl import read_numbered
+
+    lines = read_numbered(spark, path)
+    rows = decode(lines, source).withColumn("seq", F.concat(F.xxhash64("path").cast("string"), F.lit("/"), F.lpad(F.col("line").cast("string"), 12, "0")))
+    rows, seen = audit.counted(rows, unanswerable=F.col("correct_index").isNull() | (F.col("question") == "") | (F.size("options") < 2))
+    rows = materialise(accepted(rows).withColumn("key", keys.row_key()), "records")
+    free = rows if reserved is None else merge.without(rows, reserved, "key")
+    first = materialise(merge.first_per_key(free, "key"), "first")
+    kept = first.orderBy("seq").limit(cap) if cap else first
+    canonical(kept.drop("path", "line", "seq", "key"), family).write.mode("overwrite").json(out)
+    found = seen.get
+    return {"scanned": found["rows"], "unanswerable": found["unanswerable"], "reserved": rows.count() - free.count(), "duplicates": free.count() - first.count(), "written": min(first.count(), cap or first.count())}
+
+
 def halves(rows: DataFrame, family: str, salt: str, fraction: float = 0.5) -> DataFrame:
     """``rows`` with pub_split, decided by a row's content alone."""
     return rows.withColumn("pub_split", content_split(content_key(F.lit(family), "context", "question", F.col("options")), salt, fraction))
