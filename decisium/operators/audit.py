@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from decisium.functions.arrays import bigrams, gold_probability, total
 from decisium.functions.text import ascii_words, shortened, word_count
 from decisium.operators.validate import gold_is_padding
+from decisium.runtime import materialise
 
 
 def family_mix(df: DataFrame, family: str = "family", order: str = "seq") -> DataFrame:
@@ -42,12 +43,30 @@ def context_median(df: DataFrame, family: str = "family", context: str = "contex
     return df.groupBy(family).agg(F.percentile(word_count(context), 0.5).alias("median_words"))
 
 
-def top_bigrams(df: DataFrame, k: int = 10, text: str = "context") -> DataFrame:
-    """The most frequent neighbouring words of a row's text; ties alphabetically."""
-    pairs = df.select(F.explode(bigrams(ascii_words(text))).alias("bigram"))
+def top_bigrams(df: DataFrame, k: int = 10, text: str = "context", across: str | None = None) -> DataFrame:
+    """The most frequent neighbouring words of a row's text; ties alphabetically.
+
+    With ``across``, a column of unique numbers, all texts are one stream in its order: the
+    last word of a text and the first of the next one that has words are neighbours too.
+    """
+    words = df.select(*([across] if across else []), ascii_words(text).alias("words"))
+    pairs = words.select(F.explode(bigrams("words")).alias("bigram"))
+    if across:
+        pairs = pairs.unionByName(_borders(words, across))
     return pairs.groupBy("bigram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "bigram").limit(k)
 
 
+def _borders(words: DataFrame, order: str) -> DataFrame:
+    """(bigram) of each text's last word and the next one's first, by ranges: only a range's ends reach the driver."""
+    ends = words.filter(F.size("words") > 0).select(order, F.get("words", F.lit(0)).alias("first"), F.element_at("words", -1).alias("last"))
+    held = materialise(ends.repartitionByRange(F.col(order)).withColumn("range_no", F.spark_partition_id()), "ends")
+    following = F.lead("first").over(Window.partitionBy("range_no").orderBy(order))
+    inside = held.select("last", following.alias("first")).filter("first IS NOT NULL").select(F.concat_ws(" ", "last", "first").alias("bigram"))
+    ranges = sorted((r["range_no"], r["first"], r["last"]) for r in held.groupBy("range_no").agg(F.min_by("first", order).alias("first"), F.max_by("last", order).alias("last")).collect())
+    met = [(f"{a[2]} {b[1]}",) for a, b in zip(ranges, ranges[1:], strict=False)]
+    return inside.unionByName(words.sparkSession.createDataFrame(met, "bigram string"))
+
+
 def eval_fractions(df: DataFrame, family: str = "family", split: str = "split", least: float = 0.09) -> DataFrame:
     """Both splits' counts by conditional sums (no outer join of two counts)."""
     out = df.groupBy(family).agg(F.count_if(F.col(split) == "train").alias("n_train"), F.count_if(F.col(split) == "eval").alias("n_eval"))

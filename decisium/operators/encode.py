@@ -16,11 +16,17 @@ FIRST_WORD = FIRST_NUMBER + NUMBERS
 BREAK = "\ue000"
 
 
-def vocabulary(df: DataFrame, texts: list[Column], size: int = 16_384) -> DataFrame:
-    """(word, n, id): the most frequent tokens of all texts; ties alphabetically."""
-    every = df.select(F.explode(F.flatten(F.array(*[tokens(model_text(t)) for t in texts]))).alias("word"))
-    top = every.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
-    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), "word")) - 1 + FIRST_WORD).cast("long"))
+def vocabulary(df: DataFrame, texts: list[Column], size: int = 16_384, order: str | None = None) -> DataFrame:
+    """(word, n, id): the most frequent tokens of all texts; ties alphabetically, or with ``order`` (a column of unique numbers) by first occurrence."""
+    words = F.flatten(F.array(*[tokens(model_text(t)) for t in texts]))
+    if order is None:
+        every = df.select(F.explode(words).alias("word"))
+        ties, first = ["word"], []
+    else:  # a row's number and the place in its texts as one number
+        every = df.select(F.col(order).alias("own_order"), F.posexplode(words).alias("place", "word"))
+        ties, first = ["first"], [F.min(F.col("own_order") * F.lit(1 << 24).cast("long") + F.least("place", F.lit((1 << 24) - 1))).alias("first")]
+    top = every.groupBy("word").agg(F.count("*").alias("n"), *first).orderBy(F.col("n").desc(), *ties).limit(size)
+    return top.withColumn("id", (F.row_number().over(Window.orderBy(F.col("n").desc(), *ties)) - 1 + FIRST_WORD).cast("long")).select("word", "n", "id")
 
 
 def lookup(vocab: DataFrame):

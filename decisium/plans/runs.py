@@ -145,6 +145,29 @@ def wiki_fact_rows(spark, sf_dir):
     return rows.select("title", "kind", "context", "question", F.array_join("options", "|").alias("options"), "correct_index")
 
 
+@query(
+    "bigrams_across",
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM documents),
+b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM w
+  UNION ALL SELECT w[len(w)] || ' ' || nxt FROM (SELECT w, lead(w[1]) OVER (ORDER BY doc_id) AS nxt FROM w WHERE len(w) > 0) WHERE nxt IS NOT NULL)
+SELECT bigram, count(*) AS n FROM b GROUP BY bigram ORDER BY n DESC, bigram LIMIT 40""",
+)
+def bigrams_across(spark, sf_dir):
+    """All texts as one stream of words."""
+    return audit.top_bigrams(docs(spark, sf_dir), 40, "text", "doc_id")
+
+
+@query(
+    "vocab_first",
+    f"""SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, f) - 1 + 4098 AS BIGINT) AS id FROM (
+SELECT word, count(*) AS n, min(doc_id * 16777216 + place) AS f FROM (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS place FROM (SELECT doc_id, regexp_extract_all({n1("text")}, '{TOKEN}') AS t FROM documents))
+GROUP BY word ORDER BY n DESC, f LIMIT 3000)""",
+)
+def vocab_first(spark, sf_dir):
+    """The vocabulary with ties in the order of first occurrences."""
+    return encode.vocabulary(docs(spark, sf_dir), [F.col("text")], 3000, "doc_id")
+
+
 _COUNTS = ", ".join(f"('{f}', {list(n)}, '{replies.INSTRUCTIONS[f]}')" for f, n in replies.OPTION_COUNTS.items())
 
 
