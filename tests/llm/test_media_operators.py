@@ -251,6 +251,43 @@ def brute_warc(rows):
     return Counter(out)
 
 
+def test_shortened_pairs_on_odd_conversations(spark):
+    """Null ids, turns, roles and texts, ties, repeated rows, no answer, empty answers, and columns with the operator's own names."""
+    rows = [
+        (1, 1, "user", "hi <|x"), (1, 2, "assistant", "answer one"), (1, 3, "user", None), (1, 4, "assistant", "né 😀 odd"), (2, 1, "user", "alone"), (3, 1, "assistant", ""), (3, 1, "assistant", "tie"),
+        (4, None, None, "x"), (4, 1, "assistant", "abcd"), (4, 1, "assistant", "abcd"), (None, 1, "assistant", "no id"), (5, 1, "assistant", ""), (6, 1, "assistant", "y"),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "p", 4) for r in rows], "conv_id long, turn long, role string, text string, a int, b int, n int, p string, turns int").repartition(3)
+    conversations = defaultdict(list)
+    for c, t, role, text in rows:
+        conversations[c].append((-1 if t is None else t, role or "", text or ""))
+    esc = lambda x: x.replace("<|", "<\\|")
+    head, body = (lambda t: f"<|im_start|>{esc(t[1])}\n"), (lambda t: f"{esc(t[2])}<|im_end|>\n")
+    want = {}
+    for c, turns in conversations.items():
+        turns.sort()
+        cut = list(turns)
+        for i in reversed(range(len(cut))):
+            if cut[i][1] == "assistant":
+                cut[i] = (*cut[i][:2], cut[i][2][: len(cut[i][2]) // 2])
+                break
+        k = next((i for i, (x, y) in enumerate(zip(turns, cut, strict=True)) if x != y), len(turns))
+
+        def spans(own):
+            at, out = 0, []
+            for t in own:
+                if t[1] == "assistant":
+                    out.append((at + len(head(t)), at + len(head(t)) + len(body(t))))
+                at += len(head(t)) + len(body(t))
+            return out
+
+        said = lambda own: "".join(head(t) + body(t) for t in own)
+        want[c] = (k, said(turns[:k]), said(turns[k:]), spans(turns[k:]), said(cut[k:]), spans(cut[k:]))
+    got = {r["conv_id"]: (r["n_prompt_turns"], r["prompt"], r["chosen"], [tuple(x) for x in r["chosen_spans"]], r["rejected"], [tuple(x) for x in r["rejected_spans"]]) for r in chat.shortened_pairs(df).collect()}
+    assert got == want
+    assert chat.shortened_pairs(df.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark, sf_dir):
     rows = [tuple(r) for r in table(spark, sf_dir, "pages").select("page_id", "url", "html").collect()]
     big = "é" * 200
