@@ -65,15 +65,36 @@ def hash_first(df: DataFrame, group: str, limits: DataFrame, flag: str, seed: in
     return far.unionByName(near).select(*df.columns, flag)
 
 
+def numbered(df: DataFrame, key: str, order: str, number: str) -> DataFrame:
+    """``df`` with ``number``: 1, 2, ... among the rows of a key in ``order`` (unique); null keys aren't numbered apart.
+
+    Rows are dealt by ranges of (key, order), so a key of a third of all rows lies in many tasks.
+    Only the first key of a range can go on from the ranges before; the driver adds those up, a row a range.
+    """
+    held = materialise(df.repartitionByRange(F.col(key), F.col(order)).withColumn("range_no", F.spark_partition_id()), "ranges")
+    edges = held.groupBy("range_no").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    own = held.select("range_no", F.col(key).alias("own_key")).join(F.broadcast(edges), "range_no")
+    sizes = own.groupBy("range_no", "low", "high").agg(F.count_if(F.col("own_key") == F.col("low")).alias("n_low"), F.count_if(F.col("own_key") == F.col("high")).alias("n_high"))
+    went, carried, so_far = [], None, 0
+    for r in sorted(sizes.collect(), key=lambda r: r["range_no"]):
+        before = so_far if r["low"] == carried else 0
+        went.append((r["range_no"], before))
+        carried, so_far = r["high"], r["n_high"] + (before if r["low"] == r["high"] else 0)
+    spark = df.sparkSession
+    offsets = edges.join(F.broadcast(spark.createDataFrame(went, "range_no int, before long")), "range_no").drop("high")
+    place = F.row_number().over(Window.partitionBy("range_no", key).orderBy(order))
+    out = held.join(F.broadcast(offsets), "range_no").withColumn(number, place + F.when(F.col(key) == F.col("low"), F.col("before")).otherwise(0))
+    return out.select(*df.columns, number)
+
+
 def suffixed_ids(df: DataFrame, existing: DataFrame | None = None, key: str = "id", order: str = "seq") -> DataFrame:
     """``df`` with ids made unique: a later row of an id, or one that exists already, gets ``#n``."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    taken = F.lit(0)
+    df = numbered(df, key, order, "id_no")
     if existing is not None:
         df = df.join(existing.select(F.col(key).alias("old_id")).distinct(), F.col(key) == F.col("old_id"), "left")
         taken = F.col("old_id").isNotNull().cast("int")
-    else:
-        taken = F.lit(0)
-    df = df.withColumn("id_no", n + taken)
+    df = df.withColumn("id_no", F.col("id_no") + taken)
     return df.withColumn(key, F.when(F.col("id_no") > 1, F.concat(F.col(key), F.lit("#"), F.col("id_no").cast("string"))).otherwise(F.col(key))).drop("id_no", "old_id")
 
 

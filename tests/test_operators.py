@@ -419,3 +419,24 @@ def test_written_tables_are_released(spark):
     n, each = runtime.latency(df)
     assert n == 5 and each > 0 and os.path.exists(path)
     assert runtime.release(spark) >= 1 and not os.path.exists(path) and runtime.release(spark) == 0
+
+
+def test_numbers_within_keys_over_ranges(spark):
+    """A key of most rows, others and null over many small ranges."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "z", None]), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id string, seq long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["seq"]: (r["id"], r["n"]) for r in merge.numbered(df, "id", "seq", "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = Counter()
+    for k, i in rows:
+        seen[k] += 1
+        if k is not None:
+            assert got[i] == (k, seen[k])
+    assert merge.numbered(df.limit(0), "id", "seq", "n").count() == 0
