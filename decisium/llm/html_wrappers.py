@@ -124,8 +124,8 @@ def named_other(element: str, attributes: str, in_article: bool) -> tuple[bool,
     named = _values(_NAMED, attributes).split()
     if not named or element in ("html", "body"):
         return False, False
-    sure = not _OTHER_WORDS.isdisjoint(named)
-    maybe = False
+    maybe = in_article and "header" in named  # as the element of that name, an article's own
+    sure = any(n in _OTHER_WORDS and not (maybe and n == "header") for n in named)
     if element not in ("article", "main"):
         for name in named:
             for word in _WORD.findall(name):

@@ -124,6 +124,7 @@ def test_parts_of_class_names_within_articles(spark):
         f"<article><div class=entry-header><h1>T</h1></div>{body}</article>": f"T\n\n{want}", f"<article class='post ad-free'>{body}</article>": want,
         f"<article><section id=search-theory>{body}</section></article>": want, f"<article><p>Teaser.</p></article><div>{body}</div>": f"Teaser.\n\n{want}",
         f"<article>{body}<ul class=related-posts><li><a>one</a><li><a>two</a> </ul><div class=post-comments><p>no</p></div><div class=share>no</div></article>": want,
+        f"<article><div class=header><h1>T</h1></div>{body}</article><div class=header>no</div>": f"T\n\n{want}",
         f"<article>{body}<p class=search-notes>see <a>here</a></p></article><p>short</p>": f"{want}\n\nsee here",
     }
     rows = [(i, f"http://h{i}/", page(x)) for i, x in enumerate(cases)]
