@@ -8,7 +8,7 @@ import re
 import time
 
 from decisium.plans import registry
-from decisium.runtime import session
+from decisium.runtime import release, session
 
 HEADLINE = (
     "m0_gate_family", "norm_n1", "row_key", "validate_errors", "reject_reason", "anti_public", "dedup_first", "dedup_count", "split_fraction", "split_topic_disjoint",
@@ -28,6 +28,7 @@ def main() -> None:
         begun = time.time()
         found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - begun, 3)
+        release(spark)
     scale = re.search(r"sf([\d.]+)", sf_dir)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(scale[1]) if scale else None}), flush=True)
     spark.stop()
