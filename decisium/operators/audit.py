@@ -135,7 +135,7 @@ def example_row(probs: str = "probs") -> Column:
     """A row as five lines of a list: question, options, gold with its probability, context, tier and source."""
     gold = F.get("options", F.col("correct_index"))
     options = F.array_join(F.transform("options", lambda o, i: F.concat(i.cast("string"), F.lit(". "), o)), " | ")
-    share = F.coalesce(F.format_string("%.2f", F.get(probs, F.col("correct_index"))), F.lit("?"))
+    share = F.coalesce(F.call_function("format_number", F.get(probs, F.col("correct_index")), F.lit("0.00")), F.lit("?"))  # null stays null, ties to even
     said = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
     return F.concat_ws(
         "\n",

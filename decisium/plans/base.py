@@ -42,12 +42,12 @@ LANGUAGES = ["en", "fr", "de", "es", "it", "nl", "pt", "sv"]
 QUESTION = "Which language is this passage written in?"
 
 
-def decision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision rows from all documents: family is the source, topic the language, the context the whole text."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def decision_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Decision rows from all documents, or from ``docs``: family is the source, topic the language, the context the whole text."""
+    docs, labels = table(spark, sf_dir, "documents") if docs is None else docs, table(spark, sf_dir, "labels")
     df = docs.join(labels.withColumnRenamed("doc_id", "label_id"), F.col("doc_id") == F.col("label_id"), "left")
     n = (F.lit(4) + F.col("doc_id") % 5).cast("int")
-    gold = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES[:4]]), F.col("lang"))
+    gold = F.nullif(F.array_position(F.array(*[F.lit(x) for x in LANGUAGES[:4]]), F.col("lang")), F.lit(0))
     return df.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"),
         F.col("source").alias("family"),
@@ -79,9 +79,9 @@ KEYED = f"""{ROWS},
 keyed AS (SELECT *, sha256(concat_ws(chr(30), {n1("context")}, {n1("question")}, {joined(n1)})) AS key FROM rows0)"""
 
 
-def predicted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted_rows(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Decision rows with probabilities derived from hashes (they stand for a model's)."""
-    df = decision_rows(spark, sf_dir)
+    df = decision_rows(spark, sf_dir, docs)
 
     def weight(i, salt=""):
         return F.conv(F.substring(F.sha2(F.concat(F.col("seq").cast("string"), F.lit("|" + salt), i.cast("string")), 256), 1, 6), 16, 10).cast("double") + 1

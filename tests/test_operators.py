@@ -397,6 +397,15 @@ def test_census_report(spark):
     assert "    correct: idx=1 → b (gold=0.90)" in report and "| (none) | 1 | 0 |" in report and "| t | 1 | 1 |" in report
 
 
+def test_example_rows_round_to_even_and_may_lack_a_gold(spark):
+    cases = [(None, 0.5), (1, None), (1, 0.125), (1, 0.375), (1, 0.145), (1, 0.0), (1, 1.0)]
+    df = spark.createDataFrame([(i, g, [0.0, p]) for i, (g, p) in enumerate(cases)], "i int, correct_index int, probs array<double>")
+    df = df.withColumns({"question": F.lit("q?"), "options": F.array(F.lit("a"), F.lit("b")), "context": F.lit("c"), "tier": F.lit("shape"), "generated_by": F.lit("x")})
+    got = [r["shown"].split("\n")[2] for r in df.select("i", audit.example_row().alias("shown")).orderBy("i").collect()]
+    want = [("None", "?", "?") if g is None else (g, "b", "?" if p is None else f"{p:.2f}") for g, p in cases]
+    assert got == [f"    correct: idx={g} → {option} (gold={share})" for g, option, share in want]
+
+
 def test_supervision_gives_up(spark):
     counts = lambda: spark.createDataFrame([("f", 1)], "family string, n long")
     waits = []
